@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formflow.llm import contamination, packing
+from formflow.llm import contamination, mojibake, packing
 from formflow.session import cut, table
 
 
+def _fields(spark: SparkSession, folder: str) -> DataFrame:
+    emails, files = table(spark, folder, "emails"), table(spark, folder, "attachments")
+    none = F.lit(-1).alias("att_idx")
+    return mojibake.stack_fields(
+        [
+            (emails, [F.col("email_id"), none], "subject", F.col("subject")),
+            (emails, [F.col("email_id"), none], "from_header", F.col("from_header")),
+            (files, [F.col("email_id"), F.col("att_idx")], "filename", F.col("filename")),
+        ]
+    )
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mojibake.garbled_values(_fields(spark, folder), ["email_id", "att_idx", "field_name"])
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return mojibake.restored_values(_fields(spark, folder))
+
+
 def _kinds(spark: SparkSession, folder: str) -> dict[str, int]:
     rows = table(spark, folder, "containers").filter("capacity_tokens > 0").collect()  # the permitted lengths, a handful
     return {r["container_kind"]: int(r["capacity_tokens"]) for r in rows}
@@ -48,5 +68,5 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.without_leaks(docs, table(spark, folder, "eval_items")).filter("leaked_words > 0")
 
 
-QUERIES = {f.__name__: f for f in (p6_windows, p6_mixed, p6_use, p7_found, p7_clean)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p6_windows, p6_mixed, p6_use, p7_found, p7_clean)}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formflow.llm import contamination, mojibake, packing
+from formflow.llm import canonical, contamination, mojibake, packing
 from formflow.session import cut, table
 
 
@@ -29,6 +29,33 @@ def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.restored_values(_fields(spark, folder))
 
 
+def _matchers(spark: SparkSession, folder: str) -> dict:
+    products = canonical.read_list(
+        table(spark, folder, "product_list"), ["product_id", "product_name", "code", "code_lo", "code_hi"]
+    )
+    forms = canonical.read_list(table(spark, folder, "form_types"), ["form_type_id", "form_type"])
+    return {
+        "product_name": canonical.ListMatcher([(r[0], r[1]) for r in products if r[1]], marks=False),
+        "product_number": canonical.CodeMatcher([(r[0], *r[2:]) for r in products]),
+        "form_type": canonical.ListMatcher([(r[0], r[1]) for r in forms if r[1]], marks=True),
+    }
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.match_fields(table(spark, folder, "template_entries"), _matchers(spark, folder))
+
+
+def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each value without an entry was entered, by field."""
+    lines = table(spark, folder, "template_entries")
+    none = p5_found(spark, folder).filter("ref_id = 0")
+    fields = ["product_name", "product_number", "form_type"]
+    values = lines.select("entry_id", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in fields
+    ])).alias("f")).select("entry_id", "f.*").distinct()
+    return none.join(values, ["entry_id", "field_name"]).groupBy("field_name", "value").agg(F.count("*").alias("lines"))
+
+
 def _kinds(spark: SparkSession, folder: str) -> dict[str, int]:
     rows = table(spark, folder, "containers").filter("capacity_tokens > 0").collect()  # the permitted lengths, a handful
     return {r["container_kind"]: int(r["capacity_tokens"]) for r in rows}
@@ -68,5 +95,5 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.without_leaks(docs, table(spark, folder, "eval_items")).filter("leaked_words > 0")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p6_windows, p6_mixed, p6_use, p7_found, p7_clean)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p5_found, p5_unmatched, p6_windows, p6_mixed, p6_use, p7_found, p7_clean)}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formflow.llm import canonical, contamination, mojibake, packing
+from formflow.llm import canonical, contamination, mojibake, packing, stuffing
 from formflow.session import cut, table
 
 
@@ -95,5 +95,13 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.without_leaks(docs, table(spark, folder, "eval_items")).filter("leaked_words > 0")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p5_found, p5_unmatched, p6_windows, p6_mixed, p6_use, p7_found, p7_clean)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, folder, "documents"))
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.page_scores(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p5_found, p5_unmatched, p6_windows, p6_mixed, p6_use, p7_found, p7_clean, p8_found, p8_scores)}
 ORACLES: dict[str, str] = {}

@@ -17,6 +17,11 @@ DISPLAY_BOX = 87
 WEEKDAYS = ("Mo", "Di", "Mi", "Do", "Fr", "Sa")
 
 
+def rounded(c: Column, places: int) -> Column:
+    """Rounding in binary arithmetic: a decimal that only looks like a half isn't one."""
+    return F.floor(c * 10.0**places + 0.5) / 10.0**places
+
+
 def rect(x: Column, y: Column, width: Column, height: Column) -> Column:
     return F.struct(
         x.cast("int").alias("x"), y.cast("int").alias("y"), width.cast("int").alias("width"), height.cast("int").alias("height")

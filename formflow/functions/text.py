@@ -112,8 +112,8 @@ def stem(c: Column) -> Column:
 
 
 def readable_size(c: Column) -> Column:
-    """``%.1f KB`` below one MiB, ``%.1f MB`` from there."""
-    kb, mb = c / F.lit(1024.0), c / F.lit(1048576.0)
+    """``%.1f KB`` below one MiB, ``%.1f MB`` from there; exact halves go to the even digit."""
+    kb, mb = (F.rint(c * 10 / F.lit(unit)) / 10 for unit in (1024.0, 1048576.0))
     return F.when(c < 1048576, F.format_string("%.1f KB", kb)).when(c >= 1048576, F.format_string("%.1f MB", mb))
 
 
@@ -133,9 +133,14 @@ def joined(texts: Column, order: Column, by: str = " ") -> Column:
     return F.array_join(F.transform(pairs, lambda p: p["t"]), by)
 
 
+def task_id_of(modified: Column, identity: Column) -> Column:
+    """Time of the file and eight digits of a hash of what identifies it."""
+    return F.concat(F.date_format(modified, "yyyyMMdd_HHmmss_"), F.substring(F.sha2(identity, 256), 1, 8))
+
+
 def task_id(path: Column, modified: Column) -> Column:
     """Deterministic task id, so that a replay finds the same task."""
-    return F.concat(F.date_format(modified, "yyyyMMdd_HHmmss_"), F.substring(F.sha2(F.concat_ws("|", path, modified.cast("string")), 256), 1, 8))
+    return task_id_of(modified, F.concat_ws("|", path, modified.cast("string")))
 
 
 def is_top_anchor(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formflow.functions import geometry as G
+
 
 def compare_fields(reference: DataFrame, extracted: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Every field of either side as ``same``, ``changed``, ``missing`` or ``new``.
@@ -47,9 +49,15 @@ def first_mode(df: DataFrame, value: str, order: str, by: list[str]) -> DataFram
 
 
 def mean_confidence(df: DataFrame, confidence: str, by: list[str]) -> DataFrame:
-    """Mean to four digits and number of blocks; 0.0 where no confidence is known."""
+    """Mean to four digits and number of blocks; 0.0 where no confidence is known.
+
+    Confidences are summed as millionths, so the order of rows can't change the
+    last digit.
+    """
+    millionths = F.sum(F.rint(F.col(confidence) * 1e6).cast("bigint"))
+    mean = G.rounded(millionths / (F.count(confidence) * 1e6), 4)
     return df.groupBy(*by).agg(
-        F.coalesce(F.round(F.avg(confidence), 4), F.lit(0.0)).alias("confidence"), F.count(confidence).alias("block_count")
+        F.coalesce(F.when(F.count(confidence) > 0, mean), F.lit(0.0)).alias("confidence"), F.count(confidence).alias("block_count")
     )
 
 

@@ -141,7 +141,7 @@ def row_orders(blobs: DataFrame, digits: DataFrame, texts: DataFrame, sx: Column
     ``blobs``: ``page_id, blob_idx, zone_idx, col_idx, y_center, rect`` (only
     passed ones); ``digits``: ``page_id, blob_idx, digit, confidence``.
     """
-    read = accepted(digits).withColumn("confidence", F.round("confidence", 3))
+    read = accepted(digits).withColumn("confidence", G.rounded(F.col("confidence"), 3))
     lines = blobs.join(read, ["page_id", "blob_idx"])
     lines = text_at(text_at(lines, texts, "code"), texts, "name")
     box = G.display_box(F.col("rect"), sx, sy)

@@ -281,7 +281,7 @@ def deskewed(page: np.ndarray, least: float, most: float, grow: bool, fill: int
     angle = skew(gray(page), min(most + 10, 30))
     if abs(angle) < least or abs(angle) > most:
         return page, 0.0
-    return rotated(page, -angle, grow, fill), round(angle, 2)
+    return rotated(page, angle, grow, fill), round(angle, 2)
 
 
 def digit28(page: np.ndarray) -> np.ndarray | None:

@@ -194,7 +194,7 @@ def corpus_counts(docs: DataFrame, shape: Shape) -> Sketch:
     blobs = docs.mapInPandas(fill, "chunk int, blob binary").withColumn("part", F.spark_partition_id())
     parts = docs.rdd.getNumPartitions()
     while True:
-        groups = -(-parts // FAN_IN)
+        groups = max(1, -(-parts // FAN_IN))
         blobs = blobs.withColumn("part", (F.col("part") % groups).cast("int"))
         blobs = blobs.groupBy("chunk", "part").applyInPandas(merge, "chunk int, part int, blob binary")
         if groups == 1:
@@ -293,5 +293,5 @@ def stuffed_pages(docs: DataFrame, least_share: float = 0.55, **kw) -> DataFrame
 
 def without_stuffing(docs: DataFrame, least_share: float = 0.55, doc_id: str = "doc_id", **kw) -> DataFrame:
     """The rows whose page isn't stuffed; rows without text or id stay."""
-    bad = cut(stuffed_pages(docs, least_share, doc_id=doc_id, **kw)).withColumnRenamed("doc_id", "_stuffed")
-    return docs.join(bad, docs[doc_id] == bad["_stuffed"], "left_anti")
+    bad = cut(stuffed_pages(docs, least_share, doc_id=doc_id, **kw))
+    return docs.join(bad, docs[doc_id] == bad["doc_id"], "left_anti")

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from formflow.session import spread
+
 # Month names in English, German, French and Italian.
 MONTH_NAMES = {
     1: "jan january januar jänner janvier janv gennaio gen",
@@ -299,7 +301,7 @@ def normalize_instants(
         F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(place).alias("_place"),
         F.struct(*[F.col(c) for c in tie]).alias("_tie"),
     ).filter(F.col("_key").isNotNull() & F.col("_text").isNotNull() & (F.length("_text") > 0))
-    timed = rows.join(names, "_place", "left").select(
+    timed = spread(rows).join(names, "_place", "left").select(
         "_key", "_tie", instant_column(F.col("_text"), F.col("_zone"), F.col("_order"), dotted_day_first).alias("_at")
     )
     return (

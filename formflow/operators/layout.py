@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formflow.functions import geometry as G
+from formflow.session import tasks
 
 
 def cluster_positions(lines: DataFrame, position: str, by: list[str], tolerance: float = 10) -> DataFrame:
@@ -160,31 +163,30 @@ def merge_boxes(boxes: DataFrame, page: str = "page_id") -> DataFrame:
 
     One pass: a box grows while it scans the later unused ones, and those it
     passed before growing are not looked at again, so the result depends on the
-    order and isn't the transitive closure. One page is one group.
+    order and isn't the transitive closure. The boxes of a page travel as one
+    row; repeated detection numbers are taken in order of their coordinates.
     """
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("det_idx", kind="stable")
-        left = [(x, y, x + w, y + h) for x, y, w, h in pdf[["x", "y", "width", "height"]].itertuples(index=False)]
-        out = []
-        while left:
-            box, rest = left[0], []
-            for other in left[1:]:
-                apart = box[2] < other[0] or other[2] < box[0] or box[3] < other[1] or other[3] < box[1]
-                if apart:
-                    rest.append(other)
-                else:
-                    box = (min(box[0], other[0]), min(box[1], other[1]), max(box[2], other[2]), max(box[3], other[3]))
-            out.append(box)
-            left = rest
-        return pd.DataFrame(
-            [(pdf[page].iloc[0], i, a, b, c - a, d - b) for i, (a, b, c, d) in enumerate(out)],
-            columns=[page, "region_idx", "x", "y", "width", "height"],
-        )
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, boxes in zip(pdf[page], pdf["boxes"], strict=True):
+                left, n = [(b["x"], b["y"], b["x"] + b["width"], b["y"] + b["height"]) for b in boxes], 0
+                while left:
+                    box, rest = left[0], []
+                    for other in left[1:]:
+                        if box[2] < other[0] or other[2] < box[0] or box[3] < other[1] or other[3] < box[1]:
+                            rest.append(other)
+                        else:
+                            box = (min(box[0], other[0]), min(box[1], other[1]), max(box[2], other[2]), max(box[3], other[3]))
+                    out.append((key, n, box[0], box[1], box[2] - box[0], box[3] - box[1]))
+                    left, n = rest, n + 1
+            yield pd.DataFrame(out, columns=[page, "region_idx", "x", "y", "width", "height"])
 
     kind = boxes.schema[page].dataType.simpleString()
-    usable = boxes.dropna(subset=[page, "det_idx", "x", "y", "width", "height"])
-    return usable.select(page, "det_idx", "x", "y", "width", "height").groupBy(page).applyInPandas(
+    fields = ["det_idx", "x", "y", "width", "height"]
+    packed = boxes.dropna(subset=[page, *fields]).groupBy(page).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("boxes"))
+    return packed.repartition(tasks(boxes.sparkSession), page).mapInPandas(
         merge, f"{page} {kind}, region_idx int, x long, y long, width long, height long"
     )
 

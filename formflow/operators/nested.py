@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formflow.session import spread
+
 ELEMENTS = (
     "record_id string, child_kind string, parent_kind string, parent_key string, child_key string, "
     "fields map<string,string>"
@@ -182,11 +184,8 @@ def element_tables(df: DataFrame, record_id: str, body: str, groups: dict[str, t
                 rows, columns=["record_id", "child_kind", "parent_kind", "parent_key", "child_key", "fields"]
             )
 
-    return (
-        df.select(F.col(record_id).cast("string").alias("record_id"), F.col(body).alias("body"))
-        .filter(F.col("record_id").isNotNull() & F.col("body").isNotNull())
-        .mapInPandas(run, ELEMENTS)
-    )
+    rows = df.select(F.col(record_id).cast("string").alias("record_id"), F.col(body).alias("body"))
+    return spread(rows.filter(F.col("record_id").isNotNull() & F.col("body").isNotNull())).mapInPandas(run, ELEMENTS)
 
 
 def template_children(df: DataFrame, record_id: str = "definition_id", body: str = "body") -> DataFrame:

@@ -54,6 +54,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for work whose cost isn't its bytes: twice the cores, or the shuffle setting if larger.
+
+    A number given to ``repartition`` is kept by adaptive execution, which
+    would join partitions of few bytes into one task.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before Python work, if its scan has fewer partitions than cores.
+
+    Only inputs of a few file splits are moved; a large table has more splits
+    than cores and is left where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage.
 

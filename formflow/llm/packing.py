@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formflow.llm.words import TOKENIZER_FILE, token_counter
-from formflow.session import cut
+from formflow.session import cut, spread
 
 
 @dataclass
@@ -139,7 +139,7 @@ def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
             )
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
+    return spread(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInPandas(
         run, f"doc_id {kind}, tokens long"
     )
 

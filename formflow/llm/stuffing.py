@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formflow.llm.words import Cache, composed
-from formflow.session import cut
+from formflow.session import cut, spread
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|\n|[^\w\s]|_")
 CHUNK = 1 << 16
@@ -243,6 +243,7 @@ def page_scores(
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(
         F.col("doc_id").isNotNull() & (F.length("text") > 0)
     )
+    source = spread(source)
     sketch = corpus_counts(source, shape)
     total = max(1, sketch.total())
     kind = "<i4" if total < 2**31 else "<i8"

@@ -227,15 +227,18 @@ def page_scores(
     text: str = "text",
     shape: Shape | None = None,
     reach: int = 15,
-    least_pmi: float = 2.0,
-    most_repeated: float = 0.35,
+    least_pmi: float = 1.5,
+    most_repeated: float = 0.2,
     most_listed: float = 0.2,
-    excess: float = 4.0,
+    excess: float = 24.0,
+    listed_excess: float = 4.0,
 ) -> DataFrame:
     """``(doc_id, words, mean_pmi, stuffed_share)`` of every row with a text.
 
-    ``excess``: how many times its rate in the other pages a pair may have
-    before the rest counts as repetition. Null and empty texts and null ids
+    ``excess`` and ``listed_excess``: how many times its rate in the other pages
+    a pair of words or of separators may have before the rest counts as
+    repetition; the former is large because a rate over all languages
+    understates what is usual in one. Null and empty texts and null ids
     give no row; texts of fewer than three words have a share of 0; repeated
     rows give repeated rows, each judged for itself.
     """
@@ -271,7 +274,7 @@ def page_scores(
             pmi[lone], repeated[lone] = math.log(total), 0.0
             tf = _own(page.doc, page.between)
             others = np.maximum(sketch.get("separators", page.between) - tf, 0)
-            listed = np.maximum(0.0, 1 - (2 + excess * length * others / total) / tf)
+            listed = np.maximum(0.0, 1 - (2 + listed_excess * length * others / total) / tf)
             stuffed = (
                 (_around(np.minimum(pmi, 6.0), page, reach) < least_pmi)
                 | (_around(repeated, page, reach) > most_repeated)
@@ -287,12 +290,12 @@ def page_scores(
     return source.mapInPandas(score, f"doc_id {id_type}, words int, mean_pmi double, stuffed_share double")
 
 
-def stuffed_pages(docs: DataFrame, least_share: float = 0.55, **kw) -> DataFrame:
+def stuffed_pages(docs: DataFrame, least_share: float = 0.45, **kw) -> DataFrame:
     """Distinct ``doc_id`` of the pages that are for the greater part stuffed."""
     return page_scores(docs, **kw).filter(F.col("stuffed_share") > least_share).select("doc_id").distinct()
 
 
-def without_stuffing(docs: DataFrame, least_share: float = 0.55, doc_id: str = "doc_id", **kw) -> DataFrame:
+def without_stuffing(docs: DataFrame, least_share: float = 0.45, doc_id: str = "doc_id", **kw) -> DataFrame:
     """The rows whose page isn't stuffed; rows without text or id stay."""
     bad = cut(stuffed_pages(docs, least_share, doc_id=doc_id, **kw))
     return docs.join(bad, docs[doc_id] == bad["doc_id"], "left_anti")

@@ -16,20 +16,33 @@ TOKENIZER_PATTERN = (
 )
 
 
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+# Letters of other scripts that look like Latin ones, lower case.
+LOOK_ALIKES = str.maketrans("авсеԁһіјкӏмпорԛѕтугхωαεικνορτυχ", "abcedhijklmnopqstyrxwaeikvoptux")
+
+
+def visible(text: str) -> str:
+    """The composed form without characters that don't show."""
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return INVISIBLE.sub("", text) if INVISIBLE.search(text) else text
+
+
 def composed(text: str) -> str:
-    """Lower case in composed form."""
-    return (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower()
+    """Lower case in composed form, without characters that don't show."""
+    return visible(text).lower()
 
 
 def plain(word: str) -> str:
-    """A lower-case word without accents."""
+    """A lower-case word without accents and look-alikes of other scripts."""
     if word.isascii():
         return word
-    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    bare = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    return bare.translate(LOOK_ALIKES)
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words without accents and punctuation."""
+    """Lower-case words without accents, look-alikes and punctuation."""
     return [plain(w) for w in WORD.findall(composed(text))]
 
 

@@ -186,7 +186,7 @@ def merge_boxes(boxes: DataFrame, page: str = "page_id") -> DataFrame:
     kind = boxes.schema[page].dataType.simpleString()
     fields = ["det_idx", "x", "y", "width", "height"]
     packed = boxes.dropna(subset=[page, *fields]).groupBy(page).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("boxes"))
-    return packed.repartition(tasks(boxes.sparkSession), page).mapInPandas(
+    return packed.repartition(tasks(boxes.sparkSession)).mapInPandas(
         merge, f"{page} {kind}, region_idx int, x long, y long, width long, height long"
     )
 

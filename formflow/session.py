@@ -58,7 +58,8 @@ def tasks(spark: SparkSession) -> int:
     """Partitions for work whose cost isn't its bytes: twice the cores, or the shuffle setting if larger.
 
     A number given to ``repartition`` is kept by adaptive execution, which
-    would join partitions of few bytes into one task.
+    would join partitions of few bytes into one task. Give no columns with it
+    after an aggregate on the same ones: the planner drops such an exchange.
     """
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

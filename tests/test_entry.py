@@ -2,7 +2,7 @@
 
 import datetime
 import decimal
-import importlib.util
+import importlib
 import math
 from pathlib import Path
 
@@ -61,6 +61,12 @@ def test_core_does_without_the_optional_package(monkeypatch):
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
             assert "formflow.llm" not in f.read_text() and "formflow import llm" not in f.read_text(), f
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n == entry.OPTIONAL else real(n, *a))
+    real = importlib.import_module
+
+    def missing(name, *args):
+        if name == entry.OPTIONAL:
+            raise ModuleNotFoundError(name)
+        return real(name, *args)
+
+    monkeypatch.setattr(importlib, "import_module", missing)
     assert sorted(entry.queries()) == CORE

@@ -217,7 +217,7 @@ def learn(
         .withColumn("key", F.regexp_replace("token", "[^\\x00-\\x7f]+", MARK))
         .withColumn("runs", F.expr(r"regexp_extract_all(token, '([^\\x00-\\x7f]+)', 1)"))
     )
-    counted = cut(counted.repartition(tasks(values.sparkSession), "token"))
+    counted = cut(counted.repartition(tasks(values.sparkSession)))
     each_run = counted.select("token", "n", F.explode("runs").alias("run"))
     run_use = each_run.groupBy("run").agg(F.sum("n").alias("use"))
     rarest = each_run.join(run_use, "run").groupBy("token").agg(F.min("use").alias("use"))
@@ -237,7 +237,7 @@ def learn(
         .select("key", F.col("best.token").alias("clean"), F.col("best.use").alias("clean_use"))
     )
     pairs = keyed.join(twins, "key").filter("token <> clean").select("token", "use", "clean", "clean_use")
-    pairs = pairs.repartition(tasks(values.sparkSession), "token")
+    pairs = pairs.repartition(tasks(values.sparkSession))
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -3,7 +3,8 @@
 Two passes over the texts. The first counts words, neighbouring words
 (collocations) and the separators around words over the whole corpus; the
 second scores every word of a page against these counts, the page's own share
-taken out:
+taken out. Copies of a text are counted once, so a page is never explained by
+its own copies, however many rows they fill:
 
 * **word salad**: the mean pointwise mutual information of neighbouring words
   is low, they hardly ever stand together elsewhere;
@@ -171,8 +172,18 @@ def _pages(batches: Iterator[pd.DataFrame], codes: Cache, most_chars: int = 2_00
             yield keys, Page(texts, codes)
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """One row of all that the counts can't tell apart: texts that are equal but
+    for case, the digits of numbers and the width of spaces.
+
+    Copies meet within a task before anything is moved, so a large group is no hot key.
+    """
+    seen = F.regexp_replace(F.regexp_replace(F.lower("text"), "[0-9]+", "0"), r"[ \t\r\f\x0B]+", " ")
+    return docs.withColumn("digest", F.md5(seen)).dropDuplicates(["digest"]).drop("digest")
+
+
 def corpus_counts(docs: DataFrame, shape: Shape) -> Sketch:
-    """The sketch of all texts of ``docs`` (``doc_id, text``)."""
+    """The sketch of all distinct texts of ``docs`` (``doc_id, text``)."""
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch, codes = Sketch(shape), Cache(_code)
@@ -191,8 +202,8 @@ def corpus_counts(docs: DataFrame, shape: Shape) -> Sketch:
         blob = where.astype(np.uint16).tobytes() + counts[where].astype("<i8").tobytes()
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "part": [int(pdf["part"].iloc[0])], "blob": [blob]})
 
-    blobs = docs.mapInPandas(fill, "chunk int, blob binary").withColumn("part", F.spark_partition_id())
-    parts = docs.rdd.getNumPartitions()
+    blobs = distinct_texts(docs).mapInPandas(fill, "chunk int, blob binary").withColumn("part", F.spark_partition_id())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # those of the distinct texts, or more
     while True:
         groups = max(1, -(-parts // FAN_IN))
         blobs = blobs.withColumn("part", (F.col("part") % groups).cast("int"))
@@ -235,12 +246,12 @@ def page_scores(
 ) -> DataFrame:
     """``(doc_id, words, mean_pmi, stuffed_share)`` of every row with a text.
 
-    ``excess`` and ``listed_excess``: how many times its rate in the other pages
+    ``excess`` and ``listed_excess``: how many times its rate in the other texts
     a pair of words or of separators may have before the rest counts as
     repetition; the former is large because a rate over all languages
     understates what is usual in one. Null and empty texts and null ids
     give no row; texts of fewer than three words have a share of 0; repeated
-    rows give repeated rows, each judged for itself.
+    rows give repeated rows, each judged as if its text stood there once.
     """
     shape = shape or Shape()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(

@@ -57,6 +57,16 @@ def test_pages(spark):
     assert S.stuffed_pages(df.limit(0), shape=SHAPE).count() == 0
 
 
+def test_copies_do_not_explain_a_page(spark):
+    pages = [(i, prose(i), 1, "x") for i in range(300)]
+    for kind in range(5):
+        text = spam(20 + kind)
+        copies = [text, text.upper(), text.replace(" ", "  ")]
+        rows = pages + [(1000 + i, copies[i % 3] if kind else text, 1, "x") for i in range(150)]
+        got = {r.doc_id for r in S.stuffed_pages(docs(spark, rows), shape=SHAPE).collect()}
+        assert got >= {1000 + i for i in range(150)} and len(got) <= 150 + 3, kind
+
+
 def test_counts_are_those_of_one_pass(spark):
     texts = [prose(i, 5) + spam(i) for i in range(40)]
     whole = S.Sketch(SHAPE)

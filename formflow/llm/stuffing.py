@@ -7,7 +7,9 @@ taken out. Copies of a text are counted once, so a page is never explained by
 its own copies, however many rows they fill:
 
 * **word salad**: the mean pointwise mutual information of neighbouring words
-  is low, they hardly ever stand together elsewhere;
+  is low, they hardly ever stand together elsewhere; words that occur elsewhere
+  but never together count as unrelated however rare they are, while a word
+  that occurs nowhere else tells nothing;
 * **repeated collocations**: a pair of neighbours occurs in the page far more
   often than its rate in the corpus explains;
 * **lists**: the same for the pair of separators a word stands between, which
@@ -128,8 +130,7 @@ class Sketch:
     def add(self, name: str, h: np.ndarray) -> None:
         for row in range(self.shape.rows):
             start, bits = self.at[name, row]
-            used, n = np.unique(_bucket(h, row, bits), return_counts=True)
-            self.counts[start + used] += n
+            np.add.at(self.counts, start + _bucket(h, row, bits), 1)
 
     def get(self, name: str, h: np.ndarray) -> np.ndarray:
         found = None
@@ -139,6 +140,16 @@ class Sketch:
             found = n if found is None else np.minimum(found, n)
         return found
 
+    def floor(self, name: str) -> float:
+        """What collisions alone make of an item that never occurred: the mean of ``get``."""
+        rows = [self.counts[start : start + (1 << bits)] for start, bits in (self.at[name, r] for r in range(self.shape.rows))]
+        levels = np.unique(np.concatenate(rows))
+        levels = levels[levels > 0]
+        above = np.ones(len(levels))
+        for row in rows:  # the share of buckets that hold a level or more
+            above *= 1 - np.searchsorted(np.sort(row), levels) / len(row)
+        return float((np.diff(levels, prepend=0) * above).sum())
+
     def total(self) -> int:
         start, bits = self.at["words", 0]
         return int(self.counts[start : start + (1 << bits)].sum())
@@ -260,6 +271,7 @@ def page_scores(
     source = spread(source)
     sketch = corpus_counts(source, shape)
     total = max(1, sketch.total())
+    no_pair, no_word = sketch.floor("pairs"), sketch.floor("words")
     kind = "<i4" if total < 2**31 else "<i8"
     shared = docs.sparkSession.sparkContext.broadcast(sketch.counts.astype(kind))
     id_type = docs.schema[doc_id].dataType.simpleString()
@@ -273,10 +285,15 @@ def page_scores(
                 continue
             length = (page.stops - page.starts)[page.doc]
             tf = _own(page.doc, page.pair)
-            others = np.maximum(sketch.get("pairs", page.pair) - tf, 0)
+            others = np.maximum(sketch.get("pairs", page.pair) - tf - no_pair, 0)
             a = np.maximum(sketch.get("words", page.word), 1)
             b = np.maximum(sketch.get("words", page.following), 1)
             pmi = np.log((others + 0.1) * total / (a * b.astype(np.float64)))
+            known = a - length - no_word >= 0.5  # occurs elsewhere, for no page holds a word more often than its length
+            rest = np.flatnonzero(~known)
+            known[rest] = a[rest] - _own(page.doc[rest], page.word[rest]) - no_word >= 0.5
+            apart = (others < 0.5) & known & np.append(known[1:], False)
+            pmi[apart] = np.minimum(pmi[apart], 0.0)
             repeated = np.maximum(0.0, 1 - (1 + excess * length * others / total) / tf)
             last = np.flatnonzero(~page.follows)
             before = np.maximum(last - 1, 0)

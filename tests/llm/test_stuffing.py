@@ -67,6 +67,26 @@ def test_copies_do_not_explain_a_page(spark):
         assert got >= {1000 + i for i in range(150)} and len(got) <= 150 + 3, kind
 
 
+def test_rare_words_without_relation(spark):
+    r = random.Random(8)
+    rare = [f"{a}{b}{c}" for a in ("bal", "dor", "fen", "gis") for b in ("a", "e", "o", "u", "ima", "oru") for c in ("tt", "ll", "x", "sk", "rn", "ph", "nd", "mp", "gg", "dd")]
+    usual = lambda: f"The {r.choice(rare)} turns the {r.choice(NOUNS)}. It has been found by the {r.choice(rare)}."
+    pages = [(i, " ".join(usual() for _ in range(10)), 1, "x") for i in range(300)]
+    salad = [(1000 + i, " ".join(r.sample(rare, 150)), 1, "x") for i in range(3)]
+    foreign = [(2000, " ".join("".join(r.choices("aeioukst", k=6)) for _ in range(150)), 1, "x")]
+    got = {x.doc_id for x in S.stuffed_pages(docs(spark, pages + salad + foreign), shape=S.Shape(words=18, pairs=18)).collect()}
+    assert got == {1000, 1001, 1002}
+
+
+def test_floor_is_the_count_of_what_never_occurred():
+    sketch = S.Sketch(S.Shape(words=8, pairs=8, separators=8))
+    r = np.random.default_rng(1)
+    sketch.add("pairs", r.integers(0, 2**63, 20_000).astype(np.uint64))
+    never = sketch.get("pairs", r.integers(0, 2**63, 20_000).astype(np.uint64))
+    assert abs(sketch.floor("pairs") - never.mean()) < 2 and never.mean() > 50
+    assert sketch.floor("words") == 0
+
+
 def test_counts_are_those_of_one_pass(spark):
     texts = [prose(i, 5) + spam(i) for i in range(40)]
     whole = S.Sketch(SHAPE)

@@ -22,6 +22,7 @@ it is restored only through a twin.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -94,6 +95,22 @@ def plausible(text: str) -> bool:
     return True
 
 
+def proven(text: str) -> bool:
+    """Whether text read as UTF-8 proves itself: European text does, and text of
+    any script of assigned characters with three continuation bytes beyond the
+    European ones, or two letters of one script. Fewer stand in clean text too
+    ("café…»" has two)."""
+    if plausible(text):
+        return True
+    other = [c for c in text if not plausible(c)]
+    if not all(unicodedata.category(c)[0] in "LMNPSZ" or unicodedata.category(c) == "Cf" for c in other):
+        return False
+    if sum(len(c.encode("utf-8", "surrogatepass")) - 1 for c in other) > 2:
+        return True
+    letters = {unicodedata.name(c, "").split(" ")[0] for c in other if c.isalpha()}
+    return len(other) == len(text) == 2 and all(c.isalpha() for c in other) and len(letters) == 1
+
+
 def stray(token: str) -> bool:
     """Characters that only wrong decoding leaves behind."""
     return LOST in token or "ï¿½" in token or any("\x80" <= c <= "\x9f" for c in token)
@@ -159,13 +176,13 @@ def restored_runs(token: str, wrongs: tuple[str, ...]) -> str | None:
             better = None
             for w in wrongs:
                 x = undo(run, "utf-8", w)
-                if x is not None and x != run and len(x) < len(run) and plausible_step(x):
+                if x is not None and x != run and len(x) < len(run) and (plausible_step(x) or proven(x)):
                     better = x
                     break
             if better is None:
                 break
             run = better
-        if run != m.group() and plausible(run):
+        if run != m.group() and proven(run):
             changed = True
             return run
         return m.group()

@@ -32,6 +32,18 @@ def test_round_trips():
         assert M.restored_runs(clean, M.ENCODINGS) is None, clean
 
 
+def test_other_scripts():
+    for w in ("שלום", "של", "مرحبا", "नमस्ते", "日本語", "한국어", "ไทย", "😀", "Երեվան", "Zürich–日本"):
+        for other in ("cp1252", "latin-1", "mac_roman"):
+            for times in (1, 2):
+                g = w
+                for _ in range(times):
+                    g = wrong(g, "utf-8", other)
+                assert M.restored_runs(g, M.ENCODINGS) == w, (w, other, times)
+    for clean in ("café…»", "É»", "дії", "Ö…", "ΤΌ", "שלום", "日本語", "😀"):
+        assert M.restored_runs(clean, M.ENCODINGS) is None, clean
+
+
 def test_found_and_restored(spark):
     rng = random.Random(4)
     rows, want, originals = [], set(), {}

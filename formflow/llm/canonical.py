@@ -73,10 +73,13 @@ def edits(a: str, b: str) -> int:
 class WordIndex:
     """Inverted n-gram index of a vocabulary."""
 
-    def __init__(self, words: list[str], least_alike: float = 0.58) -> None:
-        self.least_alike = least_alike
+    def __init__(self, words: list[str], least_alike: float = 0.58, weak: float = 0.1, margin: float = 0.04) -> None:
+        self.least_alike, self.weak, self.margin = least_alike, weak, margin
         self.words = sorted(set(words))
         self.folded = [fold(unify(w)) for w in self.words]
+        # No longer word passes the check of edits: folding at most halves it, an abbreviation may have a third of edits.
+        size = max((len(w) for w in (*map(unify, self.words), *self.folded)), default=0)
+        self.longest = max(3 * (size + 1), math.ceil(size / (least_alike - 0.05)))
         in_words = Counter(g for f in self.folded for g in set(grams(f)))
         self.default = math.log(1 + len(self.words))
         self.idf = {g: math.log(1 + len(self.words) / n) for g, n in in_words.items()}
@@ -93,7 +96,7 @@ class WordIndex:
         return {g: n * self.idf.get(g, self.default) for g, n in counts.items()}
 
     def ranked(self, word: str, cut: bool) -> list[tuple[float, int]]:
-        """The two best words by weighted cosine; ``cut`` marks an abbreviation."""
+        """The words near by edits, best cosine first, as far as ``margin`` below it; ``cut`` marks an abbreviation."""
         return self.cache[word, cut]
 
     def _rank(self, key: tuple[str, bool]) -> list[tuple[float, int]]:
@@ -117,8 +120,13 @@ class WordIndex:
                     dot = sum(x * start.get(g, 0.0) for g, x in part.items())
                     size = math.sqrt(sum(x * x for x in start.values())) or 1.0
                     found[k] = max(found[k], 0.98 * dot / (length * size))
-        best = sorted(((s, k) for k, s in found.items()), key=lambda x: (-x[0], x[1]))[:3]
-        return [(s, k) for s, k in best if self._near(word, f, k, cut)]
+        best: list[tuple[float, int]] = []
+        for s, k in sorted(((s, k) for k, s in found.items() if s >= self.weak), key=lambda x: (-x[0], x[1])):
+            if best and best[0][0] - s >= self.margin:
+                break
+            if self._near(word, f, k, cut):
+                best.append((s, k))
+        return best
 
     def _near(self, seen: str, f: str, k: int, cut: bool) -> bool:
         """Exact check of a candidate: edits, or those of an abbreviation."""
@@ -176,12 +184,12 @@ class ListMatcher:
             self.by_words[words, mark if marks else ""] = ref
             for k, w in enumerate(words):
                 slots.setdefault(len(words), [[] for _ in words])[k].append(w)
-        self.indexes = {n: [WordIndex(ws) for ws in lists] for n, lists in slots.items()}
+        self.indexes = {n: [WordIndex(ws, weak=weak, margin=margin) for ws in lists] for n, lists in slots.items()}
 
     def match(self, value: str) -> int:
-        """The entry meant, or 0. More than twelve words name no entry."""
+        """The entry meant, or 0."""
         chunks, mark = pieces(value, self.marks)
-        if not chunks or len(chunks) > 12:
+        if not chunks:
             return 0
         best: tuple[float, int] = (0.0, 0)
         for n, indexes in self.indexes.items():
@@ -193,7 +201,12 @@ class ListMatcher:
 
     def _readings(self, chunks: list[tuple[str, bool]], n: int, indexes: list[WordIndex]):
         """Accepted readings of the chunks as ``n`` words, in either order."""
+        longest = max(x.longest for x in indexes)
+        if sum(len(w) for w, _ in chunks) > n * longest:
+            return
         for groups in _splits(chunks, n):
+            if any(sum(len(w) for w, _ in g) > longest for g in groups):
+                continue
             for order in {tuple(range(n)), tuple(reversed(range(n)))}:
                 ranked = []
                 for slot, g in zip(order, groups, strict=True):

@@ -52,6 +52,24 @@ def test_abbreviations_and_splits():
     assert NAMES.match(f"{m[:4]}- {m[4:]} an {s}") == BY_NAME[m, s]
 
 
+def test_every_candidate_is_checked_by_edits():
+    """Words that repeat the grams of the value rank above the one that is near."""
+    far = [f"banane{x}banane" for x in ("nan", "ban", "ane", "anan", "bana")]
+    index = C.WordIndex([*far, "bnanae"])
+    f = C.fold("banane")
+    assert [index.words[k] for _, k in index.ranked("banane", False)] == ["bnanae"], f
+    assert C.ListMatcher([*enumerate(far, 1), (9, "bnanae")], marks=False).match("banane") == 9
+
+
+def test_many_short_words():
+    m, s = next(iter(BY_NAME))
+    value = " ".join(w[i : i + 2] for w in (m + "x" * (len(m) % 2), s + "x" * (len(s) % 2)) for i in range(0, len(w), 2))
+    assert NAMES.match(value) == BY_NAME[m, s]
+    long = C.ListMatcher([(1, "Donaudampfschifffahrtskapitaen mit Petersilienwurzeln"), (2, "Donau mit Wurzeln")], marks=False)
+    assert long.match("do na ud am pf sc hi ff fa hr ts ka pi ta en pe te rs il ie nw ur ze ln") == 1
+    assert long.match("ab cd " * 30_000) == 0
+
+
 def test_what_the_list_does_not_hold():
     missing = [(m, s) for m in MAINS for s in SECONDS if (m, s) not in BY_NAME]
     assert missing and all(NAMES.match(f"{m} mit {s}") == 0 for m, s in missing)

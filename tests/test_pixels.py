@@ -101,6 +101,18 @@ def test_crop_and_threshold():
     assert set(np.unique(K.local_threshold(page))) <= {0, 255}
 
 
+def test_skew_reads_all_ink():
+    y, x = np.mgrid[-250:250, -250:250]
+    page = np.where((np.random.default_rng(3).random(y.shape) < 0.5) & (y * y + x * x < 240 * 240), 0, 255).astype(np.uint8)
+    ys, xs = np.nonzero(K.ink(page))
+    assert len(ys) > 50_000
+    scores = {}
+    for a in np.arange(-15, 15.125, 0.25):
+        rows = np.rint(ys * np.cos(np.radians(a)) - xs * np.sin(np.radians(a))).astype(int)
+        scores[float(a)] = (np.bincount(rows - rows.min()).astype(float) ** 2).sum()
+    assert scores[K.skew(page)] == max(scores.values())
+
+
 def test_deskew_turns_back():
     page = form(600, 400)
     tilted = K.rotated(page, 4, False, 255)

@@ -1,24 +1,33 @@
 """Deeply nested records to related flat tables.
 
-Each record is read as a stream of (path, ordinals, value) triples: the path
-holds the keys from the top, the ordinals the array positions passed. Paths
-below the same repeated ancestor form a group, and every element of a group is
-pivoted into one row of that group's table, keyed by the ordinals (or the
-object key) of its ancestors. A record sits in one input row, so grouping and
-pivoting happen where the record is read: no triple is shuffled.
+1. **Triples.** Each record is read as a stream of (path, ordinals, value): the
+   path holds the keys from the top and a mark for every array passed, the
+   ordinals are the positions in those arrays. The text is read token by token;
+   no tree of it is built.
+2. **Repeated ancestors.** The record's paths are grouped by the ancestors that
+   repeat: arrays, and objects whose members are alike (their own members share
+   a key), which are arrays by name. A name on the caller's list marks its path
+   as repeated even where the record holds a single element.
+3. **Pivot.** Every element of a group becomes one row of its table, its leaves
+   the fields, linked to the element around it. A record sits in one input row,
+   so all this happens where it is read: no triple is shuffled.
 
 Text that itself holds a JSON document (a template saved as a string inside
-another) is read as part of the record.
+another) is read as part of the record. Columns that are nested by type have
+their paths in the schema; their repeated ancestors are found there and
+exploded without any text (:func:`flat_tables`).
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formflow.session import spread
 
@@ -26,73 +35,172 @@ ELEMENTS = (
     "record_id string, child_kind string, parent_kind string, parent_key string, child_key string, "
     "fields map<string,string>"
 )
-#: Template definitions: the repeated keys, the name of an element, its key field.
-TEMPLATE_GROUPS = {"columns": ("column", "index"), "products": ("product", "row"), "cells": ("cell", "name")}
+#: Template definitions: names of repeated ancestors, the kind of their elements, the field that is an element's key.
+TEMPLATE_KINDS = {"columns": ("column", "index"), "products": ("product", "row"), "cells": ("cell", "name")}
+
+#: A record nested more deeply is read as no valid JSON, as parsers with a recursion limit do.
+MOST_DEEP = 1000
+#: Stands in a path for the elements of an array.
+EACH = None
+_GAP = r"[ \t\n\r]*"
+_TEXT = r'"([^"\\\x00-\x1f]*(?:\\.[^"\\\x00-\x1f]*)*)"'
+_VALUE = re.compile(
+    _GAP + "(?:" + _TEXT + r"|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null)"
+    rf"|(\{{{_GAP}\}})|(\[{_GAP}\])|(\{{)|(\[))"
+)
+_KEY = re.compile(_GAP + _TEXT + _GAP + ":")
+_NEXT = re.compile(_GAP + r"([,}\]])")
+_END = re.compile(_GAP + r"\Z")
+_LITERALS = {"true": True, "false": False, "null": None}
 
+Triple = tuple[tuple, tuple[int, ...], object]
 
-def _no_constant(text: str):
-    raise ValueError(text)
 
+class RepeatedKey(Exception):
+    """An object names a key twice; the last value counts, which a stream can't know."""
 
-def read_json(text: str | None):
-    """The parsed value, or ValueError where the text is no valid JSON."""
-    if text is None:
-        raise ValueError("null")
-    try:
-        return json.loads(text, parse_constant=_no_constant)
-    except RecursionError as e:
-        raise ValueError("nested too deeply") from e
 
-
-def embedded(value):
-    """The document inside a text value, or the value itself."""
-    if isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
-        try:
-            return read_json(value)
-        except ValueError:
-            return value
-    return value
+def _plain(raw: str) -> str:
+    return json.loads(f'"{raw}"') if "\\" in raw else raw
 
 
-def triples(value) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], object]]:
-    """``(path, ordinals, leaf)`` of one record in document order.
+def stream(text: str, path: tuple = (), at: tuple[int, ...] = ()) -> Iterator[Triple]:
+    """The triples of a JSON text in document order; ValueError where it ends to be valid.
 
-    Nulls are leaves too, so positions are kept.
+    Nulls and empty objects and arrays are leaves too, so positions are kept.
     """
-    stack: list[tuple[tuple[str, ...], tuple[int, ...], object]] = [((), (), value)]
+    keys, spots = list(path), list(at)
+    frames: list[set | None] = []  # open containers: the keys seen of an object, nothing of an array
+    pos = 0
+
+    def key() -> int:
+        m = _KEY.match(text, pos)
+        if m is None:
+            raise ValueError(f"no key at {pos}")
+        name = _plain(m[1])
+        if name in frames[-1]:
+            raise RepeatedKey(name)
+        frames[-1].add(name)
+        keys.append(name)
+        return m.end()
+
+    while True:
+        m = _VALUE.match(text, pos)
+        if m is None:
+            raise ValueError(f"no value at {pos}")
+        pos, kind = m.end(), m.lastindex
+        if kind > 5:
+            if len(frames) == MOST_DEEP:
+                raise ValueError("nested too deeply")
+            frames.append(set() if kind == 6 else None)
+            if kind == 6:
+                pos = key()
+            else:
+                keys.append(EACH)
+                spots.append(0)
+            continue
+        if kind == 1:
+            yield from embedded(_plain(m[1]), tuple(keys), tuple(spots))
+        else:
+            number = kind == 2 and (int(m[2]) if m[2].lstrip("-").isdigit() else float(m[2]))
+            yield tuple(keys), tuple(spots), number if kind == 2 else _LITERALS[m[3]] if kind == 3 else {} if kind == 4 else []
+        while True:
+            if not frames:
+                if _END.match(text, pos) is None:
+                    raise ValueError(f"more text at {pos}")
+                return
+            m = _NEXT.match(text, pos)
+            if m is None:
+                raise ValueError(f"no end of a value at {pos}")
+            pos, mark, array = m.end(), m[1], frames[-1] is None
+            if mark == ",":
+                if array:
+                    spots[-1] += 1
+                else:
+                    keys.pop()
+                    pos = key()
+                break
+            if array != (mark == "]"):
+                raise ValueError(f"wrong bracket at {pos}")
+            frames.pop()
+            keys.pop()
+            if array:
+                spots.pop()
+
+
+def embedded(value: str, path: tuple, at: tuple[int, ...]) -> list[Triple]:
+    """The triples of a document inside a text, or the text as a leaf."""
+    if value.lstrip()[:1] in ("{", "["):
+        try:
+            return list(stream(value, path, at))
+        except (ValueError, RecursionError):
+            pass
+    return [(path, at, value)]
+
+
+def walk(value, path: tuple = (), at: tuple[int, ...] = ()) -> Iterator[Triple]:
+    """The triples of a value that was read already."""
+    stack = [(path, at, value)]
     while stack:
         path, at, node = stack.pop()
-        node = embedded(node)
-        if isinstance(node, dict):
+        if isinstance(node, dict) and node:
             stack.extend(((*path, k), at, node[k]) for k in reversed(node))
-        elif isinstance(node, list):
-            stack.extend((path, (*at, i), node[i]) for i in range(len(node) - 1, -1, -1))
+        elif isinstance(node, list) and node:
+            stack.extend(((*path, EACH), (*at, i), node[i]) for i in range(len(node) - 1, -1, -1))
+        elif isinstance(node, str) and node.lstrip()[:1] in ("{", "["):
+            try:
+                stack.append((path, at, read_json(node)))
+            except ValueError:
+                yield path, at, node
         else:
             yield path, at, node
 
 
+def _no_constant(text: str):
+    raise ValueError(text)
+
+
+def read_json(text: str):
+    """The parsed value, or ValueError where the text is no valid JSON."""
+    try:
+        return json.loads(text, parse_constant=_no_constant)
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
+
+
+def record_triples(text: str | None) -> list[Triple]:
+    """The triples of a record; ValueError where it is null or no valid JSON."""
+    if text is None:
+        raise ValueError("null")
+    try:
+        return list(stream(text))
+    except RepeatedKey:
+        return list(walk(read_json(text)))
+
+
 def text_of(value) -> str | None:
     if value is None or isinstance(value, str):
         return value
     if isinstance(value, bool):
         return "true" if value else "false"
-    return str(value)
+    return json.dumps(value) if isinstance(value, dict | list) else str(value)
 
 
 def flatten_records(df: DataFrame, record_id: str, body: str) -> DataFrame:
     """Path-value-ordinal triples ``(record_id, path, ordinals, value)``.
 
-    Bodies that are no valid JSON yield nothing; a null value keeps its place.
+    ``path`` is the keys joined by dots. Bodies that are no valid JSON yield
+    nothing; a null value keeps its place.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for rid, text in zip(pdf["record_id"], pdf["body"], strict=True):
                 try:
-                    value = read_json(text)
+                    found = record_triples(text)
                 except ValueError:
                     continue
-                rows = [(rid, ".".join(p), list(at), text_of(v)) for p, at, v in triples(value)]
+                rows = [(rid, ".".join(k for k in p if k is not EACH), list(at), text_of(v)) for p, at, v in found]
                 yield pd.DataFrame(rows, columns=["record_id", "path", "ordinals", "value"])
 
     return df.select(F.col(record_id).alias("record_id"), F.col(body).alias("body")).mapInPandas(
@@ -100,75 +208,146 @@ def flatten_records(df: DataFrame, record_id: str, body: str) -> DataFrame:
     )
 
 
-def grouped(value, groups: dict[str, tuple[str, str]]) -> Iterator[tuple[str, str, str | None, str | None, dict]]:
-    """Pivoted elements ``(kind, parent kind, parent key, own key, fields)``.
+def _is_empty(value) -> bool:
+    return isinstance(value, dict | list)
 
-    ``groups`` maps a repeated key to the kind of its elements and to the field
-    that is their key. Elements are the array items below such a key, however
-    deep the arrays nest, or what an object's keys hold (the object key is then
-    the element's name); an object with plain values is one element itself.
-    An element's key is its key field, else its name, else null. Null elements
-    are skipped and the others keep their positions. ``fields`` are the leaves
-    by path below the element, nested groups left out.
-    """
-    found: list[dict] = []
-    stack: list[tuple[dict | None, tuple[str, ...], object]] = [(None, (), value)]
-    while stack:
-        owner, path, node = stack.pop()
-        node = embedded(node)
-        if isinstance(node, dict):
-            for k in reversed(node):
-                child = embedded(node[k])
-                if k in groups and isinstance(child, (dict, list)):
-                    kind, key = groups[k]
-                    inside = []
-                    for name, item in _members(child):
-                        element = {"kind": kind, "key": key, "name": name, "parent": owner, "fields": {}}
-                        inside.append((element, (), item))
-                        found.append(element)
-                    stack.extend(reversed(inside))
-                else:
-                    stack.append((owner, (*path, k), child))
-        elif isinstance(node, list):
-            stack.extend((owner, (*path, str(i)), node[i]) for i in range(len(node) - 1, -1, -1))
-        elif owner is not None and node is not None:
-            owner["fields"][".".join(path) or "@"] = text_of(node)
-
-    def key_of(e: dict) -> str | None:
-        return e["fields"].get(e["key"], e["name"])
-
-    for e in found:
-        up = e["parent"]
-        yield e["kind"], up["kind"] if up else "", key_of(up) if up else "", key_of(e), e["fields"]
-
-
-def _members(value) -> Iterator[tuple[str | None, object]]:
-    """``(name, element)`` of what a repeated key holds; nulls are left out."""
-    if isinstance(value, list):
-        for v in value:
-            v = embedded(v)
-            if isinstance(v, list):
-                yield from _members(v)
-            elif v is not None:
-                yield None, v
-        return
-    held = {k: embedded(v) for k, v in value.items() if v is not None}
-    if any(not isinstance(v, (dict, list)) for v in held.values()):
-        yield None, value
-        return
-    for k, v in held.items():
-        if isinstance(v, list):
-            yield from _members(v)
-        else:
-            yield k, v
 
+class Groups:
+    """The repeated ancestors of one record, found from its triples.
 
-def element_tables(df: DataFrame, record_id: str, body: str, groups: dict[str, tuple[str, str]]) -> DataFrame:
+    ``kinds`` maps names of repeated ancestors to (kind of the elements, field
+    that is their key); only these groups are kept and such a name counts as
+    repeated with a single element too. Without it every group is kept.
+    """
+
+    def __init__(self, rows: list[Triple], kinds: dict[str, tuple[str, str]] | None) -> None:
+        self.kinds = kinds
+        shapes: dict[tuple, int] = {}
+        for path, _, value in rows:
+            rank = 0 if value is None else 1 if _is_empty(value) else 2
+            if shapes.get(path, -1) < rank:
+                shapes[path] = rank
+        members: dict[tuple, dict[str, list]] = {}
+        for path, rank in shapes.items():
+            for i, key in enumerate(path):
+                if key is EACH:
+                    continue
+                j = i + 1
+                while j < len(path) and path[j] is EACH:
+                    j += 1
+                # what the member holds: keys of its elements, whether a container, whether a plain value
+                held = members.setdefault(path[:i], {}).setdefault(key, [set(), False, False])
+                if j < len(path):
+                    held[0].add(path[j])
+                held[1] |= j > i + 1 or j < len(path) or rank == 1
+                held[2] |= j == i + 1 == len(path) and rank == 2
+        #: Objects that hold their elements by name.
+        self.by_name = {p for p, held in members.items() if self._alike(p, held)}
+        #: Instances of such paths that hold plain values are one element themselves.
+        self.single = {
+            (path[:-1], at)
+            for path, at, value in rows
+            if path and path[-1] is not EACH and path[:-1] in self.by_name and value is not None and not _is_empty(value)
+        }
+        self.plans: dict[tuple, tuple] = {}
+
+    def named(self, path: tuple) -> bool:
+        return self.kinds is None or (len(path) > 0 and path[-1] in self.kinds)
+
+    def _alike(self, path: tuple, held: dict[str, list]) -> bool:
+        if (path and path[-1] is EACH) or not self.named(path):
+            return False
+        containers = [keys for keys, container, _ in held.values() if container]
+        keyed = [keys for keys in containers if keys]
+        if len(containers) < (2 if self.kinds is None else 1):
+            return False
+        return bool(set.intersection(*keyed)) if keyed else self.kinds is not None
+
+    def plan(self, path: tuple, at: tuple[int, ...]) -> tuple[tuple[int, int, str, str | None], ...]:
+        """``(length of the element's path, of its ordinals, name of the group, name of the element)``
+        of every element around a leaf, from the outside in."""
+        if not self.single:
+            if path not in self.plans:
+                self.plans[path] = tuple(self._elements(path, at))
+            return self.plans[path]
+        return tuple(self._elements(path, at))
+
+    def _elements(self, path: tuple, at: tuple[int, ...]):
+        n, taken, passed = len(path), -1, 0
+        for e in range(n):
+            if e and path[e - 1] is EACH:
+                passed += 1
+                continue
+            here = path[:e]
+            if e == taken or not self.named(here):
+                continue
+            group = here[-1] if here else ""
+            j = e
+            if path[e] is EACH:
+                while j < n and path[j] is EACH:
+                    j += 1
+                yield j, passed + j - e, group, None
+            elif here in self.by_name and (here, at[:passed]) not in self.single:
+                j = taken = e + 1
+                while j < n and path[j] is EACH:
+                    j += 1
+                yield j, passed + j - taken, group, path[e] if j == taken else None
+            elif self.kinds is not None:
+                yield e, passed, group, None
+
+
+def pivoted(rows: list[Triple], kinds: dict[str, tuple[str, str]] | None = None) -> list[tuple]:
+    """Elements ``(kind, parent kind, parent key, own key, fields)`` of a record's triples.
+
+    An element's key is its key field, else its name; without ``kinds`` its name
+    or position. ``fields`` are the leaves by path below the element, groups
+    inside it left out; the leaf of a plain element is named ``@``. Null
+    elements are no elements but keep their position.
+    """
+    groups = Groups(rows, kinds)
+    found: dict[tuple, list] = {}
+    for path, at, value in rows:
+        chain = groups.plan(path, at)
+        if not chain:
+            continue
+        n, _, _, name = chain[-1]
+        # A null, or an array without elements, is no element of its own; nor is an object of nulls one by its name alone.
+        if (n == len(path) and (value is None or value == [])) or (value is None and name is None and path[n - 1] is not EACH):
+            chain, value = chain[:-1], None
+        parent = element = None
+        for n, m, group, name in chain:
+            key = (path[:n], at[:m])
+            element = found.get(key)
+            if element is None:
+                element = found[key] = [group, parent, name, at[m - 1] if m else 0, {}]
+            parent = element
+        if element is not None and value is not None and not _is_empty(value):
+            spots = iter(at[m:])
+            field = ".".join(str(next(spots)) if k is EACH else k for k in path[n:])
+            element[4][field or "@"] = text_of(value)
+
+    def kind_of(e: list) -> str:
+        return e[0] if kinds is None else kinds[e[0]][0]
+
+    def key_of(e: list) -> str | None:
+        if kinds is None:
+            return e[2] if e[2] is not None else str(e[3])
+        return e[4].get(kinds[e[0]][1], e[2])
+
+    return [
+        (kind_of(e), kind_of(e[1]) if e[1] else "", key_of(e[1]) if e[1] else "", key_of(e), e[4]) for e in found.values()
+    ]
+
+
+def element_tables(
+    df: DataFrame, record_id: str, body: str, kinds: dict[str, tuple[str, str]] | None = None
+) -> DataFrame:
     """One row per element of every group, linked to its parent element.
 
     Columns ``record_id, child_kind, parent_kind, parent_key, child_key,
     fields``. Records whose body is null or no valid JSON, and null ids, give
-    no rows; repeated records give repeated rows.
+    no rows; repeated records give repeated rows. ``kinds`` as in
+    :class:`Groups`; other columns aren't read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,10 +355,10 @@ def element_tables(df: DataFrame, record_id: str, body: str, groups: dict[str, t
             rows = []
             for rid, text in zip(pdf["record_id"], pdf["body"], strict=True):
                 try:
-                    value = read_json(text)
+                    found = record_triples(text)
                 except ValueError:
                     continue
-                rows += [(rid, *e) for e in grouped(value, groups)]
+                rows += [(rid, *e) for e in pivoted(found, kinds)]
             yield pd.DataFrame(
                 rows, columns=["record_id", "child_kind", "parent_kind", "parent_key", "child_key", "fields"]
             )
@@ -196,7 +375,7 @@ def template_children(df: DataFrame, record_id: str = "definition_id", body: str
     out.
     """
     return (
-        element_tables(df, record_id, body, TEMPLATE_GROUPS)
+        element_tables(df, record_id, body, TEMPLATE_KINDS)
         .select(
             "record_id",
             "child_kind",
@@ -208,27 +387,105 @@ def template_children(df: DataFrame, record_id: str = "definition_id", body: str
     )
 
 
+def repeated_columns(schema: T.StructType) -> dict[str, T.DataType]:
+    """Path -> element type of the repeated ancestors of a schema, outer ones first.
+
+    Arrays directly in arrays belong to one ancestor; keys are joined by dots.
+    """
+    found: dict[str, T.DataType] = {}
+
+    def visit(path: str, kind: T.DataType) -> None:
+        if isinstance(kind, T.ArrayType):
+            inner = kind.elementType
+            while isinstance(inner, T.ArrayType):
+                inner = inner.elementType
+            found[path] = inner
+            kind = inner
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                visit(f"{path}.{f.name}" if path else f.name, f.dataType)
+
+    visit("", schema)
+    return found
+
+
+def flat_tables(df: DataFrame, record_id: str, columns: list[str] | None = None) -> dict[str, DataFrame]:
+    """One table per repeated ancestor of the schema, by its path.
+
+    ``record_id``, ``position_0`` ... (positions in all arrays passed, the
+    parent's first: the link to its table), and the plain leaves of an element,
+    nested names joined by an underscore (``value`` for plain elements). Null
+    elements give no row but keep their position; null or empty arrays and null
+    ids give none; null parts stay null; repeated records give repeated rows.
+    ``columns``: those read, else all.
+    """
+    schema = T.StructType([f for f in df.schema.fields if columns is None or f.name in columns])
+    ancestors = repeated_columns(schema)
+    tables = {}
+    for path, kind in ancestors.items():
+        rows = df.filter(F.col(record_id).isNotNull()).select(F.col(record_id).cast("string").alias("record_id"), path.split(".")[0])
+        at, done, element = [], "", None
+        keys = path.split(".")
+        for i, key in enumerate(keys):
+            done = f"{done}.{key}" if done else key
+            element = F.col(f"`{key}`") if i == 0 else element[key]
+            if done not in ancestors:
+                continue
+            depth = _depth(schema, done)
+            for _ in range(depth):
+                spot = f"position_{len(at)}"
+                rows = rows.select("record_id", *at, F.posexplode(element).alias(spot, "_e")).filter(F.col("_e").isNotNull())
+                at.append(spot)
+                element = F.col("_e")
+        leaves = _leaves(kind) if isinstance(kind, T.StructType) else []
+        picked = [_at(F.col("_e"), p).alias("_".join(p)) for p in leaves] if leaves else [F.col("_e").alias("value")]
+        tables[path] = rows.select("record_id", *at, *picked)
+    return tables
+
+
+def _depth(schema: T.DataType, path: str) -> int:
+    """Arrays in arrays at a repeated ancestor."""
+    kind = schema
+    for key in path.split("."):
+        while isinstance(kind, T.ArrayType):
+            kind = kind.elementType
+        kind = kind[key].dataType
+    n = 0
+    while isinstance(kind, T.ArrayType):
+        n, kind = n + 1, kind.elementType
+    return n
+
+
+def _leaves(kind: T.StructType) -> list[tuple[str, ...]]:
+    out = []
+    for f in kind.fields:
+        if isinstance(f.dataType, T.StructType):
+            out += [(f.name, *p) for p in _leaves(f.dataType)]
+        elif not isinstance(f.dataType, T.ArrayType):
+            out.append((f.name,))
+    return out
+
+
+def _at(element, path: tuple[str, ...]):
+    for key in path:
+        element = element[key]
+    return element
+
+
 def text_blocks(df: DataFrame, record_id: str = "page_id", blocks: str = "text_blocks") -> DataFrame:
     """One row per block of an OCR page, keyed by its position from 0.
 
-    ``(record_id, block_idx, text, confidence, x, y, width, height)``, distinct.
-    Null blocks give no row but keep their position; null or empty arrays and
-    null ids give none; null parts stay null.
+    ``(record_id, block_idx, text, confidence, x, y, width, height)``, distinct;
+    rows as in :func:`flat_tables`.
     """
-    return (
-        df.select(F.col(record_id).cast("string").alias("record_id"), F.posexplode(blocks).alias("block_idx", "b"))
-        .filter(F.col("record_id").isNotNull() & F.col("b").isNotNull())
-        .select("record_id", "block_idx", "b.text", "b.confidence", "b.bounds.x", "b.bounds.y", "b.bounds.width", "b.bounds.height")
-        .distinct()
-    )
+    rows = flat_tables(df, record_id, [blocks])[blocks]
+    sizes = [F.col(f"bounds_{c}").alias(c) for c in ("x", "y", "width", "height")]
+    return rows.select("record_id", F.col("position_0").alias("block_idx"), "text", "confidence", *sizes).distinct()
 
 
 def block_children(df: DataFrame, record_id: str = "page_id", blocks: str = "text_blocks") -> DataFrame:
     """The blocks of :func:`text_blocks` in the columns of :func:`template_children`."""
-    rows = (
-        df.select(F.col(record_id).cast("string").alias("record_id"), F.posexplode(blocks).alias("i", "b"))
-        .filter(F.col("record_id").isNotNull() & F.col("b").isNotNull())
-    )
+    rows = flat_tables(df, record_id, [blocks])[blocks]
     return rows.select(
-        "record_id", F.lit("block").alias("child_kind"), F.lit("").alias("parent_key"), F.col("i").cast("string").alias("child_key")
+        "record_id", F.lit("block").alias("child_kind"), F.lit("").alias("parent_key"), F.col("position_0").cast("string").alias("child_key")
     ).distinct()

@@ -45,7 +45,7 @@ def p4_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_elements(spark: SparkSession, folder: str) -> DataFrame:
     """All elements with their fields as JSON text."""
-    rows = nested.element_tables(table(spark, folder, "definitions"), "definition_id", "body", nested.TEMPLATE_GROUPS)
+    rows = nested.element_tables(table(spark, folder, "definitions"), "definition_id", "body", nested.TEMPLATE_KINDS)
     return rows.withColumn("fields", F.to_json("fields")).distinct()
 
 

@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from formflow.operators import nested
 
@@ -63,10 +65,78 @@ def test_repeated_records_count_once(spark):
     assert nested.template_children(spark.createDataFrame(rows, SCHEMA)).count() == 3
 
 
+E = nested.EACH
+
+
 def test_triples_round_trip():
     value = {"a": [{"b": 1, "c": None}, {"b": "x"}], "d": {"e": [[1, 2], []]}}
-    got = list(nested.triples(value))
-    assert got == [(("a", "b"), (0,), 1), (("a", "c"), (0,), None), (("a", "b"), (1,), "x"), (("d", "e"), (0, 0), 1), (("d", "e"), (0, 1), 2)]
+    want = [
+        (("a", E, "b"), (0,), 1), (("a", E, "c"), (0,), None), (("a", E, "b"), (1,), "x"),
+        (("d", "e", E, E), (0, 0), 1), (("d", "e", E, E), (0, 1), 2), (("d", "e", E), (1,), []),
+    ]
+    assert list(nested.stream(json.dumps(value))) == want == list(nested.walk(value))
+
+
+@given(
+    st.recursive(
+        st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(),
+        lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=4), x, max_size=3),
+        max_leaves=12,
+    ),
+    st.booleans(),
+    st.sampled_from([None, 1]),
+)
+@settings(max_examples=200, deadline=None)
+def test_stream_reads_what_a_parser_reads(value, ascii, indent):
+    text = json.dumps(value, ensure_ascii=ascii, indent=indent)
+    assert nested.record_triples(text) == list(nested.walk(json.loads(text)))
+
+
+@given(st.text(alphabet='{}[],:"\\a1-.e \n\tnulltrue', max_size=12))
+@settings(max_examples=500, deadline=None)
+def test_stream_refuses_what_a_parser_refuses(text):
+    def tried(f):
+        try:
+            return f(text)
+        except ValueError:
+            return "no JSON"
+
+    assert tried(nested.record_triples) == tried(lambda t: list(nested.walk(nested.read_json(t))))
+
+
+def test_repeated_keys_count_by_the_last():
+    assert nested.record_triples('{"a": 1, "b": 2, "a": {"c": 3}}') == [(("a", "c"), (), 3), (("b",), (), 2)]
+
+
+def test_groups_of_unknown_names():
+    """Arrays and objects of like members repeat, whatever their names."""
+    body = {"crates": {"left": {"jars": [{"g": 1}, None, {"g": 2}]}, "right": {"jars": []}}, "size": {"w": 1, "h": {"cm": 2}}}
+    got = sorted((k, up, parent, own, tuple(f.items())) for k, up, parent, own, f in nested.pivoted(list(nested.walk(body))))
+    assert got == [
+        ("crates", "", "", "left", ()), ("crates", "", "", "right", ()),
+        ("jars", "crates", "left", "0", (("g", "1"),)), ("jars", "crates", "left", "2", (("g", "2"),)),
+    ]
+
+
+def test_every_element_comes_from_triples(spark, monkeypatch):
+    """Without the triple reader there is no element."""
+    assert children(spark, {"products": [PRODUCT]}) == WANT
+    seen = []
+    real = nested.stream
+    monkeypatch.setattr(nested, "stream", lambda *a: seen.append(a) or real(*a))
+    body = json.dumps({"products": [PRODUCT], "columns": COLUMNS})
+    rows = nested.pivoted(nested.record_triples(body), nested.TEMPLATE_KINDS)
+    assert len(seen) == 1 and len(rows) == 7
+    assert nested.pivoted([], nested.TEMPLATE_KINDS) == []
+
+
+def test_flat_tables_of_typed_columns(spark):
+    kind = "array<struct<t:string,box:struct<x:int,y:int>,marks:array<array<int>>>>"
+    rows = [("p", [("a", (1, None), [[7], None, [8, 9]]), None, (None, None, [])]), ("q", None), (None, [("z", None, None)])]
+    tables = nested.flat_tables(spark.createDataFrame(rows, f"id string, blocks {kind}"), "id")
+    assert list(tables) == ["blocks", "blocks.marks"]
+    assert sorted(map(tuple, tables["blocks"].collect()), key=str) == [("p", 0, "a", 1, None), ("p", 2, None, None, None)]
+    assert sorted(map(tuple, tables["blocks.marks"].collect())) == [("p", 0, 0, 0, 7), ("p", 0, 2, 0, 8), ("p", 0, 2, 1, 9)]
 
 
 def test_triple_table(spark):

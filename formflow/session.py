@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,11 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+#: Tasks that Python work on a scan is spread over, by one exchange. Set for local sessions on tables of
+#: one file and row group; unset on a cluster, where a scan has splits enough and nothing is moved.
+LOCAL_TASKS = "spark.formflow.localTasks"
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -29,6 +34,7 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": str(cores if cores != "*" else 8),
+        LOCAL_TASKS: str(cores if cores != "*" else 8),
         **conf,
     }
     spark = builder.config(map=settings).getOrCreate()
@@ -39,8 +45,9 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made
-    and set as the checkpoint folder.
+    Only in local mode (tests, a laptop) a folder of this machine is made where
+    the setting is absent; a cluster without the setting is refused, for its
+    executors share no such folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -48,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"formflow-{uuid.uuid4().hex}")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
@@ -65,13 +74,12 @@ def tasks(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores before Python work, if its scan has fewer partitions than cores.
+    """``df`` over as many tasks as the session's ``LOCAL_TASKS`` says; where it is unset, ``df`` as it is.
 
-    Only inputs of a few file splits are moved; a large table has more splits
-    than cores and is left where it lies.
+    The plan depends on this setting only, never on the size of the input.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n = df.sparkSession.conf.get(LOCAL_TASKS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,14 +3,18 @@
 Values are deduplicated first; every distinct value is normalised and scored
 once. The reference list is small (a parameter bounds it) and every task gets
 an inverted index of it: character n-gram -> words of the list, weighted by
-rarity. A value's words retrieve candidates through shared n-grams only, the
-weighted cosine ranks them, and the best is accepted above a threshold and a
-margin over the next one.
-
-Entries are compared by their significant words: joining words don't matter,
-order doesn't either; a candidate is checked by its edits; and single letters or numbers ("form B", "sheet 3") have
-to agree exactly, for a similar number is another entry. Codes are compared as
-numbers and ranges for the same reason.
+rarity. Runs of a value's pieces retrieve candidate words through shared n-grams
+only and are scored by the weighted cosine. An entry scores what the weaker of
+its words scores, less for letters of the value that no word explains. The best
+entry is accepted above a threshold and by a margin over the next one; one that
+isn't told from the next is rejected. An exact check of edits follows, which can
+only refuse what was accepted.
+
+Which words join others is learnt from the list: words that stand only inside
+entries and in so many of them that they hardly tell entries apart. Order
+doesn't matter; single letters or numbers ("form B", "sheet 3") have to agree
+exactly, for a similar number is another entry. Codes are compared as numbers
+and ranges for the same reason.
 """
 
 from __future__ import annotations
@@ -28,10 +32,6 @@ from pyspark.sql import functions as F
 from formflow.llm.words import Cache
 from formflow.session import tasks
 
-# Words that only join others, and what recognition makes of them.
-JOINERS = frozenset("an mit mir mif nach art m u und à a la de du aux avec".split())
-# Additions that name no entry.
-ADDITIONS = frozenset("neu kopie copy v1 v2 v3 nr no stk g kg ml x er".split())
 # Characters and pairs that recognition confuses, folded on both sides.
 CONFUSED = (("ae", "a"), ("oe", "o"), ("ue", "u"), ("rn", "m"), ("ri", "n"), ("ii", "u"), ("li", "u"), ("vv", "w"))
 CONFUSED_ONE = str.maketrans("01|!5cqfi", "olllsegtl")
@@ -71,68 +71,71 @@ def edits(a: str, b: str) -> int:
 
 
 class WordIndex:
-    """Inverted n-gram index of a vocabulary."""
+    """Inverted n-gram index of a vocabulary.
 
-    def __init__(self, words: list[str], least_alike: float = 0.58, weak: float = 0.1, margin: float = 0.04) -> None:
-        self.least_alike, self.weak, self.margin = least_alike, weak, margin
+    ``unseen``: weight of an n-gram that no word has, as a share of the rarest
+    one's; it is evidence of a slip rather than of another word.
+    """
+
+    def __init__(self, words: list[str], room: float = 0.42, unseen: float = 0.3) -> None:
+        self.room = room
         self.words = sorted(set(words))
         self.folded = [fold(unify(w)) for w in self.words]
         # No longer word passes the check of edits: folding at most halves it, an abbreviation may have a third of edits.
         size = max((len(w) for w in (*map(unify, self.words), *self.folded)), default=0)
-        self.longest = max(3 * (size + 1), math.ceil(size / (least_alike - 0.05)))
+        self.longest = max(3 * (size + 1), math.ceil(size / (0.95 - room)))
         in_words = Counter(g for f in self.folded for g in set(grams(f)))
-        self.default = math.log(1 + len(self.words))
+        self.default = unseen * math.log(1 + len(self.words))
         self.idf = {g: math.log(1 + len(self.words) / n) for g, n in in_words.items()}
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.norms = []
+        self.starts: dict[tuple[int, int], tuple[dict[str, float], float]] = {}
         for k, f in enumerate(self.folded):
             vector = self.weigh(grams(f))
             self.norms.append(math.sqrt(sum(x * x for x in vector.values())) or 1.0)
             for g, x in vector.items():
                 self.postings[g].append((k, x))
-        self.cache = Cache(self._rank, 200_000)
+        self.cache = Cache(self._scores, 200_000)
 
     def weigh(self, counts: Counter) -> dict[str, float]:
         return {g: n * self.idf.get(g, self.default) for g, n in counts.items()}
 
-    def ranked(self, word: str, cut: bool) -> list[tuple[float, int]]:
-        """The words near by edits, best cosine first, as far as ``margin`` below it; ``cut`` marks an abbreviation."""
+    def scores(self, word: str, cut: bool) -> list[tuple[float, int]]:
+        """``(cosine, word)`` of all words that share an n-gram, best first; ``cut`` marks an abbreviation."""
         return self.cache[word, cut]
 
-    def _rank(self, key: tuple[str, bool]) -> list[tuple[float, int]]:
+    def _scores(self, key: tuple[str, bool]) -> list[tuple[float, int]]:
         word, cut = key
         f = fold(word)
         if not f:
             return []
         whole = self.weigh(grams(f))
         norm = math.sqrt(sum(x * x for x in whole.values())) or 1.0
-        scores: dict[int, float] = defaultdict(float)
+        dots: dict[int, float] = defaultdict(float)
         for g, x in whole.items():
             for k, y in self.postings.get(g, ()):
-                scores[k] += x * y
-        found = {k: s / (norm * self.norms[k]) for k, s in scores.items()}
+                dots[k] += x * y
+        found = {k: s / (norm * self.norms[k]) for k, s in dots.items()}
         if cut and len(f) >= 3:
             part = self.weigh(grams(f, closed=False))
             length = math.sqrt(sum(x * x for x in part.values())) or 1.0
-            for k in scores:
+            for k in dots:
                 for n in (len(f), len(f) + 1):
-                    start = self.weigh(grams(self.folded[k][:n], closed=False))
-                    dot = sum(x * start.get(g, 0.0) for g, x in part.items())
-                    size = math.sqrt(sum(x * x for x in start.values())) or 1.0
-                    found[k] = max(found[k], 0.98 * dot / (length * size))
-        best: list[tuple[float, int]] = []
-        for s, k in sorted(((s, k) for k, s in found.items() if s >= self.weak), key=lambda x: (-x[0], x[1])):
-            if best and best[0][0] - s >= self.margin:
-                break
-            if self._near(word, f, k, cut):
-                best.append((s, k))
-        return best
-
-    def _near(self, seen: str, f: str, k: int, cut: bool) -> bool:
-        """Exact check of a candidate: edits, or those of an abbreviation."""
-        word, written = self.folded[k], unify(self.words[k])
-        room = 1 - self.least_alike
-        if edits(f, word) <= room * max(len(f), len(word)) and edits(seen, written) <= (room + 0.05) * max(
+                    start, size = self._start(k, n)
+                    found[k] = max(found[k], 0.98 * sum(x * start.get(g, 0.0) for g, x in part.items()) / (length * size))
+        return sorted(((s, k) for k, s in found.items()), key=lambda x: (-x[0], x[1]))
+
+    def _start(self, k: int, n: int) -> tuple[dict[str, float], float]:
+        n = min(n, len(self.folded[k]))
+        if (k, n) not in self.starts:
+            vector = self.weigh(grams(self.folded[k][:n], closed=False))
+            self.starts[k, n] = vector, math.sqrt(sum(x * x for x in vector.values())) or 1.0
+        return self.starts[k, n]
+
+    def near(self, seen: str, k: int, cut: bool) -> bool:
+        """Exact check of an accepted word: its edits, or those of an abbreviation."""
+        f, word, written = fold(seen), self.folded[k], unify(self.words[k])
+        if edits(f, word) <= self.room * max(len(f), len(word)) and edits(seen, written) <= (self.room + 0.05) * max(
             len(seen), len(written)
         ):
             return True
@@ -140,107 +143,131 @@ class WordIndex:
 
 
 def pieces(text: str, camel: bool) -> tuple[list[tuple[str, bool]], str]:
-    """``([(chunk, abbreviated)], mark)`` of a value or entry.
+    """``([(piece, abbreviated)], mark)`` of a value or entry.
 
     The mark is a lone number or single letter, the last one where there are
-    several; joining words, amounts and additions are left out.
+    several; remarks in brackets, amounts and version marks are left out.
     """
     text = unicodedata.normalize("NFKC", text).replace("\xad", "")
     text = re.sub(r"\([^)]*\)|(?i:\bv\d\b)", " ", text)
     text = re.sub(r"(?<=[^\W\d_])(?=\d+\W*$)", " ", text)
     if camel:
         text = re.sub(r"(?<=[a-zäöüß])(?=[A-ZÄÖÜ])", " ", text)
-    text = re.sub(r"(?i)\b\d+\s?(x|er|g|kg|ml|stk|stück)\b", " ", unify(text))
+    text = re.sub(r"\b\d+[^\W\d_]{1,3}\b", " ", unify(text))
     chunks, mark = [], ""
     for m in re.finditer(r"([^\W_]+)(\.?)", text):
         word, dot = m.group(1), bool(m.group(2))
-        if word in JOINERS and not (camel and len(word) == 1):
-            continue
         if word.isdigit() or len(word) == 1:
             mark = word.lstrip("0") or "0"
-        elif word not in ADDITIONS:
+        else:
             chunks.append((word, dot))
     return chunks, mark
 
 
 class ListMatcher:
-    """The entries of a list by their significant words."""
+    """The entries of a list by their significant words.
+
+    ``threshold``: least score of an entry; ``margin``: least distance of the
+    best entry from the next; ``least_bits``: words inside entries that tell
+    fewer bits about which entry is meant only join others; ``marks``: whether
+    lone numbers and letters belong to the entries.
+    """
 
     def __init__(
         self,
         entries: list[tuple[int, str]],
         marks: bool,
-        threshold: float = 0.14,
-        margin: float = 0.04,
-        weak: float = 0.1,
+        threshold: float = 0.4,
+        margin: float = 0.05,
+        least_bits: float = 3.5,
+        unseen: float = 0.3,
     ) -> None:
-        self.marks, self.threshold, self.margin, self.weak = marks, threshold, margin, weak
+        self.marks, self.threshold, self.margin = marks, threshold, margin
         self.literal = {text for _, text in entries}
+        read = {text: pieces(text, marks) for _, text in entries}
+        rims = {w for chunks, _ in read.values() for w, _ in (chunks[:1] + chunks[-1:])}
+        inside = Counter(w for chunks, _ in read.values() for w in {w for w, _ in chunks} - rims)
+        self.joiners = {w for w, n in inside.items() if math.log2(len(read) / n) <= least_bits}
         self.by_words: dict[tuple, int] = {}
         slots: dict[int, list[list[str]]] = {}
         for ref, text in sorted(entries, reverse=True):
-            chunks, mark = pieces(text, marks)
-            words = tuple(w for w, _ in chunks)
+            chunks, mark = read[text]
+            words = tuple(w for w, _ in chunks if w not in self.joiners)
+            if not words:
+                continue
             self.by_words[words, mark if marks else ""] = ref
             for k, w in enumerate(words):
                 slots.setdefault(len(words), [[] for _ in words])[k].append(w)
-        self.indexes = {n: [WordIndex(ws, weak=weak, margin=margin) for ws in lists] for n, lists in slots.items()}
+        self.indexes = {n: [WordIndex(ws, unseen=unseen) for ws in lists] for n, lists in slots.items()}
+        self.joining = WordIndex(sorted(self.joiners), unseen=unseen)
 
     def match(self, value: str) -> int:
         """The entry meant, or 0."""
-        chunks, mark = pieces(value, self.marks)
-        if not chunks:
+        ranked = self.ranked(value)
+        if not ranked:
             return 0
-        best: tuple[float, int] = (0.0, 0)
+        score, ref, words = ranked[0]
+        if score < self.threshold or (len(ranked) > 1 and score - ranked[1][0] < self.margin):
+            return 0
+        return ref if all(index.near(seen, k, cut) for index, k, seen, cut in words) else 0
+
+    def ranked(self, value: str) -> list[tuple[float, int, list]]:
+        """``(score, entry, its words as read)`` of all entries in reach of the threshold, best first."""
+        chunks, mark = pieces(value, self.marks)
+        weights = [self._weight(w) for w, _ in chunks]
+        best: dict[int, tuple[float, float, list]] = {}  # of two readings alike in the weaker word, the better in all
         for n, indexes in self.indexes.items():
-            for score, words in self._readings(chunks, n, indexes):
-                ref = self.by_words.get((words, mark if self.marks else ""), 0)
-                if score > best[0] + 1e-9 or (ref and not best[1] and score > best[0] - self.margin):
-                    best = (score, ref)
-        return best[1]
-
-    def _readings(self, chunks: list[tuple[str, bool]], n: int, indexes: list[WordIndex]):
-        """Accepted readings of the chunks as ``n`` words, in either order."""
-        longest = max(x.longest for x in indexes)
-        if sum(len(w) for w, _ in chunks) > n * longest:
-            return
-        for groups in _splits(chunks, n):
-            if any(sum(len(w) for w, _ in g) > longest for g in groups):
+            longest = max(x.longest for x in indexes)
+            reach = self.threshold - self.margin
+            # More letters than these leave too many unexplained for any entry to reach the threshold.
+            if not chunks or sum(weights) * reach**2 > n * longest:
                 continue
-            for order in {tuple(range(n)), tuple(reversed(range(n)))}:
-                ranked = []
-                for slot, g in zip(order, groups, strict=True):
-                    word = "".join(w for w, _ in g)
-                    ranked.append((slot, indexes[slot].ranked(word, g[-1][1])))
-                if any(not r or r[0][0] < self.weak for _, r in ranked):
-                    continue
-                tops = [r[0][0] for _, r in ranked]
-                total = sum(tops) / n
-                if total < self.threshold:
-                    continue
-                words = [""] * n
-                for slot, r in ranked:
-                    words[slot] = indexes[slot].words[r[0][1]]
-                yield total, tuple(words)
-                # Within the margin a word isn't told; the list may tell it.
-                for i, (slot, r) in enumerate(ranked):
-                    for s, k in r[1:]:
-                        if r[0][0] - s < self.margin:
-                            other = list(words)
-                            other[slot] = indexes[slot].words[k]
-                            yield total - (tops[i] - s) / n, tuple(other)
-
-
-def _splits(chunks: list, n: int) -> Iterator[list[list]]:
-    if n == 1:
-        yield [chunks]
-    elif n == 2:
-        for k in range(1, len(chunks)):
-            yield [chunks[:k], chunks[k:]]
-    else:
-        for k in range(1, len(chunks) - n + 2):
-            for rest in _splits(chunks[k:], n - 1):
-                yield [chunks[:k], *rest]
+            runs = self._runs(chunks, indexes, longest, reach)
+            for score, total, spans, words in self._readings(runs, indexes, 0, [], []):
+                taken = {i for a, b in spans for i in range(a, b)}
+                explained = sum(len(chunks[i][0]) for i in taken)
+                rest = sum(w for i, w in enumerate(weights) if i not in taken)
+                score *= math.sqrt(explained / (explained + rest))
+                ref = self.by_words.get((tuple(x.words[k] for x, k, _, _ in words), mark if self.marks else ""), 0)
+                if ref and (score, total) > best.get(ref, (0.0, 0.0))[:2]:
+                    best[ref] = (score, total, words)
+        return sorted(((s, ref, words) for ref, (s, _, words) in best.items()), key=lambda x: (-x[0], x[1]))
+
+    def _weight(self, word: str) -> float:
+        """Letters that count as unexplained where no word takes a piece: none of a joining word, half of a short one."""
+        if word in self.joiners or any(s >= 0.5 for s, _ in self.joining.scores(word, False)[:1]):
+            return 0.0
+        return len(word) * (0.5 if len(word) < 4 else 1.0)
+
+    def _runs(self, chunks, indexes, longest: int, least: float) -> list[list[tuple]]:
+        """For every slot ``(score, from, to, word, seen, abbreviated)`` of the runs of pieces that resemble a word."""
+        runs: list[list[tuple]] = [[] for _ in indexes]
+        for a in range(len(chunks)):
+            seen = ""
+            for b in range(a, len(chunks)):
+                seen += chunks[b][0]
+                if len(seen) > longest:
+                    break
+                for slot, index in enumerate(indexes):
+                    for s, k in index.scores(seen, chunks[b][1]):
+                        if s < least:
+                            break
+                        # Pieces are parts of one word only if they spell it.
+                        if b > a and not index.near(seen, k, chunks[b][1]):
+                            continue
+                        runs[slot].append((s, a, b + 1, k, seen, chunks[b][1]))
+        return runs
+
+    def _readings(self, runs, indexes, slot: int, spans: list, words: list, score: float = 1.0, total: float = 0.0):
+        """``(score of the weakest word, of all, spans, words)`` of all choices of disjoint runs, one a slot."""
+        if slot == len(runs):
+            yield score, total, spans, words
+            return
+        for s, a, b, k, seen, cut in runs[slot]:
+            if all(b <= x or y <= a for x, y in spans):
+                yield from self._readings(
+                    runs, indexes, slot + 1, [*spans, (a, b)], [*words, (indexes[slot], k, seen, cut)], min(score, s), total + s
+                )
 
 
 class CodeMatcher:
@@ -275,22 +302,20 @@ class CodeMatcher:
         return min(inside)[1] if inside else 0
 
 
-def match_fields(
-    entries: DataFrame, matchers: dict[str, object], entry_id: str = "entry_id"
-) -> DataFrame:
-    """``(entry_id, field_name, ref_id)`` of the values that are no literal entry.
+def matched_values(entries: DataFrame, matchers: dict[str, object], entry_id: str = "entry_id") -> DataFrame:
+    """Distinct ``(entry_id, field_name, value, ref_id)`` of the values that are no literal entry.
 
     ``matchers`` maps a column to its matcher. Null and blank values are no
     cases; ``ref_id`` is 0 where the list holds no such thing. Lines saved
     several times count once; null ids are left out; other columns aren't read.
     """
-    whole = None
-    for column in matchers:
-        rows = entries.select(
-            F.col(entry_id).alias("entry_id"), F.lit(column).alias("field_name"), F.col(column).cast("string").alias("value")
-        )
-        whole = rows if whole is None else whole.unionByName(rows)
-    whole = whole.filter(F.col("entry_id").isNotNull() & F.col("value").isNotNull() & (F.length("value") > 0))
+    fields = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).cast("string").alias("value")) for c in matchers])
+    whole = (
+        entries.filter(F.col(entry_id).isNotNull())
+        .select(F.col(entry_id).alias("entry_id"), F.explode(fields).alias("f"))
+        .select("entry_id", "f.field_name", "f.value")
+        .filter(F.length("value") > 0)
+    )
     shared = entries.sparkSession.sparkContext.broadcast(matchers)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,11 +330,13 @@ def match_fields(
 
     values = whole.select("field_name", "value").distinct().repartition(tasks(entries.sparkSession))
     matched = values.mapInPandas(run, "field_name string, value string, ref_id long")
-    return (
-        whole.join(matched, ["field_name", "value"])
-        .select(F.col("entry_id").alias(entry_id), "field_name", "ref_id")
-        .distinct()
-    )
+    return whole.join(matched, ["field_name", "value"]).select("entry_id", "field_name", "value", "ref_id").distinct()
+
+
+def match_fields(entries: DataFrame, matchers: dict[str, object], entry_id: str = "entry_id") -> DataFrame:
+    """Distinct ``(entry_id, field_name, ref_id)`` of :func:`matched_values`."""
+    found = matched_values(entries, matchers, entry_id)
+    return found.select(F.col("entry_id").alias(entry_id), "field_name", "ref_id").distinct()
 
 
 def read_list(df: DataFrame, columns: list[str], most: int = 1_000_000) -> list[tuple]:

@@ -47,13 +47,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """How often each value without an entry was entered, by field."""
-    lines = table(spark, folder, "template_entries")
-    none = p5_found(spark, folder).filter("ref_id = 0")
-    fields = ["product_name", "product_number", "form_type"]
-    values = lines.select("entry_id", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in fields
-    ])).alias("f")).select("entry_id", "f.*").distinct()
-    return none.join(values, ["entry_id", "field_name"]).groupBy("field_name", "value").agg(F.count("*").alias("lines"))
+    found = canonical.matched_values(table(spark, folder, "template_entries"), _matchers(spark, folder))
+    return found.filter("ref_id = 0").groupBy("field_name", "value").agg(F.count("*").alias("lines"))
 
 
 def _kinds(spark: SparkSession, folder: str) -> dict[str, int]:

@@ -52,13 +52,28 @@ def test_abbreviations_and_splits():
     assert NAMES.match(f"{m[:4]}- {m[4:]} an {s}") == BY_NAME[m, s]
 
 
-def test_every_candidate_is_checked_by_edits():
-    """Words that repeat the grams of the value rank above the one that is near."""
+def test_threshold_and_margin_decide():
+    """Either parameter changes what is accepted; an entry that isn't told from the next is none."""
+    entries = [(1, "Preiselbeeren"), (2, "Preiselbeerem"), (3, "Haselnuss")]
+    assert C.ListMatcher(entries, marks=False, margin=0.0).match("Preiselbeere") in (1, 2)
+    assert C.ListMatcher(entries, marks=False).match("Preiselbeere") == 0
+    assert C.ListMatcher(entries, marks=False).match("Haslenuss") == 3
+    assert C.ListMatcher(entries, marks=False, threshold=0.9).match("Haslenuss") == 0
+
+
+def test_joining_words_come_from_the_list():
+    assert NAMES.joiners == {"an", "mit", "nach", "art"}
+    assert C.ListMatcher(FORMS, marks=True).joiners == set()
+    other = C.ListMatcher([(1, "Pain con Tomate"), (2, "Arroz con Leche"), (3, "Crema de Leche")], marks=False)
+    assert other.joiners == {"con", "de"} and other.match("tomate / pain") == 1 and other.match("Crema con Leche") == 3
+
+
+def test_every_candidate_is_scored():
+    """Words that share most n-grams but not the rare ones don't push out the right one."""
     far = [f"banane{x}banane" for x in ("nan", "ban", "ane", "anan", "bana")]
-    index = C.WordIndex([*far, "bnanae"])
-    f = C.fold("banane")
-    assert [index.words[k] for _, k in index.ranked("banane", False)] == ["bnanae"], f
-    assert C.ListMatcher([*enumerate(far, 1), (9, "bnanae")], marks=False).match("banane") == 9
+    index = C.WordIndex([*far, "banone"])
+    assert len(index.scores("banane", False)) == 6
+    assert index.near("banane", index.words.index("banone"), False) and not index.near("banane", 0, False)
 
 
 def test_many_short_words():
@@ -68,6 +83,7 @@ def test_many_short_words():
     long = C.ListMatcher([(1, "Donaudampfschifffahrtskapitaen mit Petersilienwurzeln"), (2, "Donau mit Wurzeln")], marks=False)
     assert long.match("do na ud am pf sc hi ff fa hr ts ka pi ta en pe te rs il ie nw ur ze ln") == 1
     assert long.match("ab cd " * 30_000) == 0
+    assert NAMES.match(f"{m} an {s} bitte ohne Zwiebeln aber mit viel Liebe und ganz schnell wie immer") == BY_NAME[m, s]
 
 
 def test_what_the_list_does_not_hold():

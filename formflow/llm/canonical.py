@@ -56,16 +56,26 @@ def grams(word: str, closed: bool = True) -> Counter:
     return Counter([w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)])
 
 
-def edits(a: str, b: str) -> int:
-    """Insertions, deletions, replacements and swaps of neighbours."""
+def edits(a: str, b: str, most: int | None = None) -> int:
+    """Insertions, deletions, replacements and swaps of neighbours; beyond ``most`` some number above it."""
+    if a == b:
+        return 0
+    if most is not None and abs(len(a) - len(b)) > most:
+        return most + 1
     two, one = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
+        left = least = i
         row = [i]
         for j, y in enumerate(b, 1):
-            cost = min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, two[j - 2] + 1)
+            cost = one[j - 1] if x == y else 1 + min(one[j - 1], one[j], left)
+            if x != y and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and two[j - 2] + 1 < cost:
+                cost = two[j - 2] + 1
             row.append(cost)
+            left = cost
+            if cost < least:
+                least = cost
+        if most is not None and least > most:
+            return most + 1
         two, one = one, row
     return one[-1]
 
@@ -74,22 +84,24 @@ class WordIndex:
     """Inverted n-gram index of a vocabulary.
 
     ``unseen``: weight of an n-gram that no word has, as a share of the rarest
-    one's; it is evidence of a slip rather than of another word.
+    one's; it is evidence of a slip rather than of another word. ``least``: lower
+    cosines aren't returned.
     """
 
-    def __init__(self, words: list[str], room: float = 0.42, unseen: float = 0.3) -> None:
-        self.room = room
+    def __init__(self, words: list[str], room: float = 0.42, unseen: float = 0.3, least: float = 0.0) -> None:
+        self.room, self.least = room, least
         self.words = sorted(set(words))
-        self.folded = [fold(unify(w)) for w in self.words]
+        self.written = [unify(w) for w in self.words]
+        self.folded = [fold(w) for w in self.written]
         # No longer word passes the check of edits: folding at most halves it, an abbreviation may have a third of edits.
-        size = max((len(w) for w in (*map(unify, self.words), *self.folded)), default=0)
+        size = max((len(w) for w in (*self.written, *self.folded)), default=0)
         self.longest = max(3 * (size + 1), math.ceil(size / (0.95 - room)))
         in_words = Counter(g for f in self.folded for g in set(grams(f)))
         self.default = unseen * math.log(1 + len(self.words))
         self.idf = {g: math.log(1 + len(self.words) / n) for g, n in in_words.items()}
         self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.norms = []
-        self.starts: dict[tuple[int, int], tuple[dict[str, float], float]] = {}
+        self.starts: dict[int, tuple[dict, list[float]]] = {}
         for k, f in enumerate(self.folded):
             vector = self.weigh(grams(f))
             self.norms.append(math.sqrt(sum(x * x for x in vector.values())) or 1.0)
@@ -109,37 +121,43 @@ class WordIndex:
         f = fold(word)
         if not f:
             return []
-        whole = self.weigh(grams(f))
-        norm = math.sqrt(sum(x * x for x in whole.values())) or 1.0
-        dots: dict[int, float] = defaultdict(float)
-        for g, x in whole.items():
-            for k, y in self.postings.get(g, ()):
-                dots[k] += x * y
-        found = {k: s / (norm * self.norms[k]) for k, s in dots.items()}
+        found = self._cosines(self.weigh(grams(f)), self.postings, self.norms)
         if cut and len(f) >= 3:
             part = self.weigh(grams(f, closed=False))
-            length = math.sqrt(sum(x * x for x in part.values())) or 1.0
-            for k in dots:
-                for n in (len(f), len(f) + 1):
-                    start, size = self._start(k, n)
-                    found[k] = max(found[k], 0.98 * sum(x * start.get(g, 0.0) for g, x in part.items()) / (length * size))
-        return sorted(((s, k) for k, s in found.items()), key=lambda x: (-x[0], x[1]))
-
-    def _start(self, k: int, n: int) -> tuple[dict[str, float], float]:
-        n = min(n, len(self.folded[k]))
-        if (k, n) not in self.starts:
-            vector = self.weigh(grams(self.folded[k][:n], closed=False))
-            self.starts[k, n] = vector, math.sqrt(sum(x * x for x in vector.values())) or 1.0
-        return self.starts[k, n]
+            for n in (len(f), len(f) + 1):
+                for k, s in self._cosines(part, *self._starts(n)).items():
+                    found[k] = max(found.get(k, 0.0), 0.98 * s)
+        return sorted(((s, k) for k, s in found.items() if s >= self.least), key=lambda x: (-x[0], x[1]))
+
+    @staticmethod
+    def _cosines(vector: dict[str, float], postings: dict, norms: list[float]) -> dict[int, float]:
+        norm = math.sqrt(sum(x * x for x in vector.values())) or 1.0
+        dots: dict[int, float] = defaultdict(float)
+        for g, x in vector.items():
+            for k, y in postings.get(g, ()):
+                dots[k] += x * y
+        return {k: s / (norm * norms[k]) for k, s in dots.items()}
+
+    def _starts(self, n: int) -> tuple[dict, list[float]]:
+        """The index of the words' first ``n`` characters."""
+        if n not in self.starts:
+            postings, norms = defaultdict(list), []
+            for k, f in enumerate(self.folded):
+                vector = self.weigh(grams(f[:n], closed=False))
+                norms.append(math.sqrt(sum(x * x for x in vector.values())) or 1.0)
+                for g, x in vector.items():
+                    postings[g].append((k, x))
+            self.starts[n] = dict(postings), norms
+        return self.starts[n]
 
     def near(self, seen: str, k: int, cut: bool) -> bool:
         """Exact check of an accepted word: its edits, or those of an abbreviation."""
-        f, word, written = fold(seen), self.folded[k], unify(self.words[k])
-        if edits(f, word) <= self.room * max(len(f), len(word)) and edits(seen, written) <= (self.room + 0.05) * max(
-            len(seen), len(written)
-        ):
+        f, word, written = fold(seen), self.folded[k], self.written[k]
+        most, more = int(self.room * max(len(f), len(word))), int((self.room + 0.05) * max(len(seen), len(written)))
+        if edits(f, word, most) <= most and edits(seen, written, more) <= more:
             return True
-        return cut and len(f) >= 3 and min(edits(f, word[:n]) for n in (len(f), len(f) + 1)) <= len(f) // 3 + (len(f) > 3)
+        few = len(f) // 3 + (len(f) > 3)
+        return cut and len(f) >= 3 and any(edits(f, word[:n], few) <= few for n in (len(f), len(f) + 1))
 
 
 def pieces(text: str, camel: bool) -> tuple[list[tuple[str, bool]], str]:
@@ -170,7 +188,8 @@ class ListMatcher:
     ``threshold``: least score of an entry; ``margin``: least distance of the
     best entry from the next; ``least_bits``: words inside entries that tell
     fewer bits about which entry is meant only join others; ``marks``: whether
-    lone numbers and letters belong to the entries.
+    lone numbers and letters belong to the entries; ``clear``: cosine from which
+    a piece is a word by itself.
     """
 
     def __init__(
@@ -181,8 +200,9 @@ class ListMatcher:
         margin: float = 0.05,
         least_bits: float = 3.5,
         unseen: float = 0.3,
+        clear: float = 0.8,
     ) -> None:
-        self.marks, self.threshold, self.margin = marks, threshold, margin
+        self.marks, self.threshold, self.margin, self.clear = marks, threshold, margin, clear
         self.literal = {text for _, text in entries}
         read = {text: pieces(text, marks) for _, text in entries}
         rims = {w for chunks, _ in read.values() for w, _ in (chunks[:1] + chunks[-1:])}
@@ -198,7 +218,8 @@ class ListMatcher:
             self.by_words[words, mark if marks else ""] = ref
             for k, w in enumerate(words):
                 slots.setdefault(len(words), [[] for _ in words])[k].append(w)
-        self.indexes = {n: [WordIndex(ws, unseen=unseen) for ws in lists] for n, lists in slots.items()}
+        reach = max(0.0, threshold - margin)
+        self.indexes = {n: [WordIndex(ws, unseen=unseen, least=reach) for ws in lists] for n, lists in slots.items()}
         self.joining = WordIndex(sorted(self.joiners), unseen=unseen)
 
     def match(self, value: str) -> int:
@@ -218,11 +239,11 @@ class ListMatcher:
         best: dict[int, tuple[float, float, list]] = {}  # of two readings alike in the weaker word, the better in all
         for n, indexes in self.indexes.items():
             longest = max(x.longest for x in indexes)
-            reach = self.threshold - self.margin
+            reach = max(0.0, self.threshold - self.margin)
             # More letters than these leave too many unexplained for any entry to reach the threshold.
             if not chunks or sum(weights) * reach**2 > n * longest:
                 continue
-            runs = self._runs(chunks, indexes, longest, reach)
+            runs = self._runs(chunks, indexes, longest)
             for score, total, spans, words in self._readings(runs, indexes, 0, [], []):
                 taken = {i for a, b in spans for i in range(a, b)}
                 explained = sum(len(chunks[i][0]) for i in taken)
@@ -239,23 +260,33 @@ class ListMatcher:
             return 0.0
         return len(word) * (0.5 if len(word) < 4 else 1.0)
 
-    def _runs(self, chunks, indexes, longest: int, least: float) -> list[list[tuple]]:
-        """For every slot ``(score, from, to, word, seen, abbreviated)`` of the runs of pieces that resemble a word."""
+    def _runs(self, chunks, indexes, longest: int) -> list[list[tuple]]:
+        """For every slot ``(score, from, to, word, seen, abbreviated)`` of the runs of pieces that resemble a word.
+
+        Several pieces are one word only if they spell it; a joining word neither begins nor ends such a
+        run, and a piece that is a word by itself is no part of one.
+        """
         runs: list[list[tuple]] = [[] for _ in indexes]
+        whole = set()  # pieces that are words by themselves
+        for i, (word, dot) in enumerate(chunks):
+            for slot, index in enumerate(indexes):
+                found = index.scores(word, dot)
+                runs[slot] += [(s, i, i + 1, k, word, dot) for s, k in found]
+                if (found and found[0][0] >= self.clear) or len(word) > longest:
+                    whole.add(i)
         for a in range(len(chunks)):
-            seen = ""
-            for b in range(a, len(chunks)):
+            if a in whole or chunks[a][0] in self.joiners:
+                continue
+            seen = chunks[a][0]
+            for b in range(a + 1, len(chunks)):
                 seen += chunks[b][0]
-                if len(seen) > longest:
+                if len(seen) > longest or b in whole:
                     break
+                if chunks[b][0] in self.joiners:
+                    continue
+                dot = chunks[b][1]
                 for slot, index in enumerate(indexes):
-                    for s, k in index.scores(seen, chunks[b][1]):
-                        if s < least:
-                            break
-                        # Pieces are parts of one word only if they spell it.
-                        if b > a and not index.near(seen, k, chunks[b][1]):
-                            continue
-                        runs[slot].append((s, a, b + 1, k, seen, chunks[b][1]))
+                    runs[slot] += [(s, a, b + 1, k, seen, dot) for s, k in index.scores(seen, dot) if index.near(seen, k, dot)]
         return runs
 
     def _readings(self, runs, indexes, slot: int, spans: list, words: list, score: float = 1.0, total: float = 0.0):

@@ -3,17 +3,17 @@
 The unit is the token (a run of letters), not the whole value: values share
 tokens, so a garbled token nearly always has a clean twin elsewhere.
 
-1. Tokens with characters beyond ASCII are counted once over all values.
+1. Tokens with characters beyond ASCII are counted once over all rows; values
+   that hold words of other alphabets are counted as wholes too.
 2. A token's key is the token with every non-ASCII run replaced by a mark.
    Tokens of one key are near-twins; each key has one representative, the
    variant most likely clean, so joining needs no pairs within a key.
 3. Garbled and clean runs of twins are aligned, and the transformation
    (bytes of one encoding read as another, once or repeatedly) that turns one
    into the other is inferred. Transformations with enough support are learned.
-4. Learned transformations are undone on the tokens without a twin. Where the
-   result proves itself (bytes that form well-formed UTF-8) that settles it;
-   otherwise the result has to be a token that is much more usual. Runs that
-   turned out garbled wherever they can be told mark the tokens left over.
+4. Learned transformations, and only these, are undone on the tokens without a
+   twin. Where the result proves itself (bytes that form well-formed UTF-8) that
+   settles it; otherwise the result has to be a token that is much more usual.
 
 Replacement characters and stray control characters mark text that was lost;
 it is restored only through a twin.
@@ -26,6 +26,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,137 +213,156 @@ def _tokens(values: DataFrame, column: str) -> DataFrame:
     )
 
 
+def character_use(counted: DataFrame) -> dict[str, int]:
+    """How often each character beyond ASCII stands alone between others; as many entries as there are characters."""
+    rows = (
+        counted.select("n", F.explode("runs").alias("c")).filter(F.length("c") == 1).groupBy("c").agg(F.sum("n").alias("n")).collect()
+    )
+    return {r["c"]: int(r["n"]) for r in rows}
+
+
+def _phrase(value: Column) -> Column:
+    """A whole value that holds a word without any ASCII letter, digits levelled; else null.
+
+    Such a word alone has nothing in common with its garbled forms; what twins
+    have in common here is the rest of the value.
+    """
+    edge = "[\\x00-@\\[-`{-\\x7f]"
+    return F.when(value.rlike(f"(^|{edge})[^\\x00-\\x7f]{{2,}}($|{edge})"), F.regexp_replace(value, "[0-9]+", "0"))
+
+
 def learn(
     values: DataFrame,
     column: str = "value",
     least_support: int = 3,
     least_ratio: float = 3.0,
-    least_share: float = 0.6,
+    fallback: tuple[str, ...] = ENCODINGS,
 ) -> tuple[DataFrame, list[str]]:
-    """``(token, restored)`` of all garbled tokens, and the learned transformations.
-
-    ``restored`` is null where the original can't be told. ``least_support``:
-    different clean tokens that a transformation has to explain; ``least_ratio``:
-    how much more usual a restored token has to be that doesn't prove itself;
-    ``least_share``: of the uses of a run, how many have to be garbled for the
-    run to mark the tokens left over.
+    """``(token, restored, way)`` of all garbled tokens, and the learned transformations.
+
+    ``way``: ``twin`` (explained by a clean twin), ``learned`` (a learned
+    reading of UTF-8 undone), ``lost`` (stray characters), ``usual`` (a learned
+    single-byte reading undone, whose result is much more usual) or
+    ``fallback``. ``restored`` is null where the original can't be told.
+    ``least_support``: different clean tokens that a transformation has to
+    explain, or one of as many different characters; ``least_ratio``: how much more usual a restored token has to be
+    that doesn't prove itself; ``fallback``: encodings to be tried for UTF-8
+    though nothing was learned of them, for tables too small to learn from (the
+    registered queries give none). An empty table learns nothing.
     """
-    counted = (
-        _tokens(values.select(column).distinct(), column)
-        .groupBy("token")
+    spark = values.sparkSession
+    # A word is counted as a token; a whole value with words of other alphabets twice as a phrase, from which is only learnt:
+    # single bytes keep the length (kind 1), UTF-8 read wrongly doesn't (kind 2).
+    item = lambda t, kind: F.struct(t.alias("token"), F.lit(kind).alias("kind"))
+    items = F.concat(
+        F.transform(F.split(column, SEPARATORS), lambda t: item(t, 0)),
+        F.array(item(_phrase(F.col(column)), 1), item(_phrase(F.col(column)), 2)),
+    )
+    runs_marked, each_marked = (F.regexp_replace("token", f"[^\\x00-\\x7f]{more}", MARK) for more in ("+", ""))
+    counted = cut(
+        values.select(F.explode(items).alias("t"))
+        .select("t.*")
+        .filter(F.col("token").rlike("[^\\x00-\\x7f]"))
+        .groupBy("token", "kind")
         .agg(F.count("*").alias("n"))
-        .withColumn("key", F.regexp_replace("token", "[^\\x00-\\x7f]+", MARK))
         .withColumn("runs", F.expr(r"regexp_extract_all(token, '([^\\x00-\\x7f]+)', 1)"))
+        # Fewer than two letters in common make no twins; such tokens are their own key, so none of these is hot.
+        .withColumn(
+            "key",
+            F.when(F.col("kind") == 1, each_marked)
+            .when((F.col("kind") == 2) | runs_marked.rlike("[A-Za-z].*[A-Za-z]"), runs_marked)
+            .otherwise(F.col("token")),
+        )
     )
-    counted = cut(counted.repartition(tasks(values.sparkSession)))
-    each_run = counted.select("token", "n", F.explode("runs").alias("run"))
-    run_use = each_run.groupBy("run").agg(F.sum("n").alias("use"))
-    rarest = each_run.join(run_use, "run").groupBy("token").agg(F.min("use").alias("use"))
-    keyed = (
-        counted.filter(F.regexp_replace("key", "[^A-Za-z]", "").rlike("[A-Za-z]{2}"))
-        .join(rarest, "token")
-        .withColumn("use", 2 * F.log("n") + F.log("use"))
-    )
+    characters = spark.sparkContext.broadcast(character_use(counted))
+
+    @F.pandas_udf("double")
+    def usage(tokens: pd.Series, n: pd.Series) -> pd.Series:
+        known = characters.value.get
+        rarest = [min((known(c, 1) for c in t if c > "\x7f"), default=1) for t in tokens]
+        return 2 * np.log(n) + np.log(rarest)
+
+    keyed = counted.withColumn("use", usage("token", "n"))
     best = F.struct(
         (~F.col("token").rlike("[\\x80-\\x9f\\ufffd]|ï¿½")).alias("sound"),
         (-F.length(F.array_join("runs", ""))).alias("short"), F.col("use"), F.col("token"),
     )
     twins = (
-        keyed.groupBy("key")
+        keyed.groupBy("key", "kind")
         .agg(F.max(best).alias("best"))
         .filter("best.sound")
-        .select("key", F.col("best.token").alias("clean"), F.col("best.use").alias("clean_use"))
+        .select("key", "kind", F.col("best.token").alias("clean"), F.col("best.use").alias("clean_use"))
     )
-    pairs = keyed.join(twins, "key").filter("token <> clean").select("token", "use", "clean", "clean_use")
-    pairs = pairs.repartition(tasks(values.sparkSession))
+    pairs = keyed.join(twins, ["key", "kind"], "left").select("token", "kind", "n", "use", "clean", "clean_use").repartition(tasks(spark))
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for token, use, clean, usual in zip(*(pdf[c] for c in ("token", "use", "clean", "clean_use")), strict=True):
-                how = explain(clean, token)
-                if how is None and not stray(token):
-                    continue
-                name, exact = how or ("lost", True)
-                sure = stray(token) or (name.startswith("utf-8") and len(clean) < len(token))
-                rows.append((token, clean, name, exact, bool(sure), bool(usual > use)))
-            yield pd.DataFrame(rows, columns=["token", "clean", "how", "exact", "sure", "usual"])
-
-    explained = cut(
-        pairs.mapInPandas(infer, "token string, clean string, how string, exact boolean, sure boolean, usual boolean")
-    )
+            for token, kind, n, use, clean, usual in zip(
+                *(pdf[c] for c in ("token", "kind", "n", "use", "clean", "clean_use")), strict=True
+            ):
+                lost = stray(token)
+                how = explain(clean, token) if clean and clean != token else None
+                name, exact = how or ("lost" if lost and clean and clean != token else "", True)
+                sure = bool(name) and (lost or (name.startswith("utf-8") and len(clean) < len(token)))
+                rows.append((token, kind, n, clean if name else None, name, exact, sure, bool(name) and usual > use))
+            yield pd.DataFrame(rows, columns=["token", "kind", "n", "clean", "how", "exact", "sure", "usual"])
+
+    told = "token string, kind int, n long, clean string, how string, exact boolean, sure boolean, usual boolean"
+    explained = cut(pairs.mapInPandas(infer, told))
+    words = F.when(F.col("kind") > 0, F.split("clean", SEPARATORS)).otherwise(F.array("clean"))
+    # Of phrases, words of other alphabets count; one of many different characters is as good as that many words.
+    characters_of = F.size(F.array_distinct(F.split("clean", "")))
     support = (
-        explained.filter("exact AND how <> 'lost' AND (sure OR usual)")
+        explained.filter("exact AND how NOT IN ('', 'lost') AND (sure OR usual)")
+        .filter("kind = 0 OR (how LIKE 'utf-8%') = (kind = 2)")
+        .select("how", "kind", F.explode(words).alias("clean"))
+        .filter((F.col("kind") == 0) | F.col("clean").rlike(r"^[\p{L}&&[^\p{IsLatin}]]{2,}$"))
+        .groupBy("how", "clean")
+        .agg(F.max("kind").alias("kind"))
         .groupBy("how")
-        .agg(F.countDistinct("clean").alias("n"))
+        .agg(F.sum(F.when((F.col("kind") > 0) & (characters_of >= least_support), least_support).otherwise(1)).alias("n"))
         .collect()  # a row a transformation of a fixed list
     )
     learned = sorted(r["how"] for r in support if r["n"] >= least_support)
     single = [h for h in learned if not h.startswith("utf-8")]
-    by_twin = explained.filter(
-        F.col("sure") | (F.col("how").isin(single) & F.col("usual")) if single else F.col("sure")
-    ).select("token", F.col("clean").alias("restored"))
-
-    chains = [tuple(h.split(">")) for h in single]
-    cyrillic, greek, latin = ("cp1251", "koi8-r"), ("cp1253", "iso8859-7"), ("cp1252", "latin-1", "mac_roman")
-    other = [(t, w) for t in (*cyrillic, *greek) for w in latin]
-    other += [(t, w) for t in cyrillic for w in cyrillic if t != w]
-    tries = list(dict.fromkeys([*chains, *other]))
+    multi = tuple(dict.fromkeys(w for h in learned if h.startswith("utf-8") and (w := h[6:].split("*")[0]) in ENCODINGS))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for token, n in zip(pdf["token"], pdf["n"], strict=True):
-                fixed = restored_runs(token, ENCODINGS)
-                if fixed is not None or stray(token):
-                    rows.append((token, n, fixed if fixed is None or not stray(fixed) else None, "", True))
+            for token, n, clean, how, sure, usual in zip(
+                *(pdf[c] for c in ("token", "n", "clean", "how", "sure", "usual")), strict=True
+            ):
+                if sure or (usual and how in single):
+                    rows.append((token, n, clean, "", "twin"))
+                    continue
+                lost, fixed = stray(token), restored_runs(token, multi)
+                way = "learned"
+                if fixed is None and fallback:
+                    fixed, way = restored_runs(token, fallback), "fallback"
+                if fixed is not None or lost:
+                    whole = fixed is not None and not stray(fixed)
+                    rows.append((token, n, fixed if whole else None, "", way if fixed is not None else "lost"))
                     continue
-                for true, wrong in tries:
+                for true, wrong in (h.split(">") for h in single):
                     back = NON_ASCII.sub(lambda m: undo(m.group(), true, wrong) or LOST, token)
                     if back != token and LOST not in back and plausible(back) and not stray(back):
-                        rows.append((token, n, back, back.lower(), False))
-            yield pd.DataFrame(rows, columns=["token", "n", "restored", "word", "sure"])
+                        rows.append((token, n, back, back.lower(), "usual"))
+            yield pd.DataFrame(rows, columns=["token", "n", "restored", "word", "way"])
 
-    tried = counted.select("token", "n").mapInPandas(
-        apply, "token string, n long, restored string, word string, sure boolean"
-    )
-    proven = tried.filter("sure").select("token", "restored")
-    usual = counted.groupBy(F.lower("token").alias("word")).agg(F.sum("n").alias("m"))
-    own = counted.groupBy(F.lower("token").alias("own")).agg(F.sum("n").alias("o"))
+    tried = explained.filter("kind = 0").mapInPandas(apply, "token string, n long, restored string, word string, way string")
+    done = tried.filter("way <> 'usual'").select("token", "restored", "way")
+    words = counted.filter("kind = 0").groupBy(F.lower("token").alias("word")).agg(F.sum("n").alias("m"))
     likely = (
-        tried.filter("NOT sure")
-        .withColumn("own", F.lower("token"))
-        .join(usual, "word")
-        .join(own, "own")
-        .filter(F.col("m") >= least_ratio * F.col("o"))
-        .select("token", "restored")
-    )
-    ways = [by_twin.withColumn("way", F.lit(0)), proven.withColumn("way", F.lit(1)), likely.withColumn("way", F.lit(2))]
-    told = cut(
-        ways[0]
-        .unionByName(ways[1])
-        .unionByName(ways[2])
-        .groupBy("token")
-        .agg(F.min_by("restored", F.struct(F.col("restored").isNull(), "way", "restored")).alias("restored"))
-    )
-    # Runs that are garbled wherever they can be told mark the tokens left over.
-    marks = (
-        each_run.join(told.select("token", F.lit(1).alias("hit")), "token", "left")
-        .groupBy("run")
-        .agg(
-            (F.sum(F.col("n") * F.coalesce("hit", F.lit(0))) / F.sum("n")).alias("share"),
-            F.countDistinct(F.when(F.col("hit") == 1, F.col("token"))).alias("support"),
-        )
-        .filter((F.col("share") >= least_share) & (F.col("support") >= least_support))
-    )
-    left_over = (
-        each_run.join(marks.select("run"), "run")
-        .select("token")
-        .distinct()
-        .join(told, "token", "left_anti")
-        .withColumn("restored", F.lit(None).cast("string"))
+        tried.filter("way = 'usual'")
+        .join(words, "word")
+        .filter(F.col("m") >= least_ratio * F.col("n"))
+        .groupBy("token", "way")
+        .agg(F.max_by("restored", F.struct("m", "restored")).alias("restored"))
+        .select("token", "restored", "way")
     )
-    return told.unionByName(left_over), learned
+    return done.unionByName(likely), learned
 
 
 def stack_fields(parts: list[tuple[DataFrame, list[Column], str, Column]]) -> DataFrame:

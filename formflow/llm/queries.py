@@ -22,11 +22,11 @@ def _fields(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return mojibake.garbled_values(_fields(spark, folder), ["email_id", "att_idx", "field_name"])
+    return mojibake.garbled_values(_fields(spark, folder), ["email_id", "att_idx", "field_name"], fallback=())
 
 
 def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
-    return mojibake.restored_values(_fields(spark, folder))
+    return mojibake.restored_values(_fields(spark, folder), fallback=())
 
 
 def _matchers(spark: SparkSession, folder: str) -> dict:

@@ -68,6 +68,20 @@ def test_found_and_restored(spark):
     assert right >= 0.97 * len(originals)
 
 
+def test_ways(spark):
+    """Only what was learned is undone, and every token says by which way it was told."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(WORDS, k=3)) for _ in range(300)]
+    texts += [wrong(t, "utf-8", "cp1252") for t in texts[:60]] + ["Gänseblümchen".encode().decode("cp1252"), "Xüx".encode().decode("cp850")]
+    df = table(spark, [(str(i), t, "", 0) for i, t in enumerate(texts)])
+    found, learned = M.learn(df, fallback=())
+    ways = {r.token: (r.restored, r.way) for r in found.collect()}
+    assert "utf-8>cp1252" in learned and not any("cp850" in h for h in learned)
+    assert ways["KÃ¼che"] == ("Küche", "twin") and ways["GÃ¤nseblÃ¼mchen"] == ("Gänseblümchen", "learned")
+    assert "X├╝x" not in ways
+    assert {r.token: r.way for r in M.learn(df)[0].collect()}["X├╝x"] == "fallback"
+
+
 def test_edges(spark):
     assert M.garbled_values(table(spark, []), ["email_id"]).count() == 0
     odd = [("a", "ü" * 20_000, "", 0), ("b", "\x85\x9f", "", 0), ("c", "Ã", "", 0), ("d", "日本語" * 1000, "", 0), (None, "KÃ¼che", "", 0)]

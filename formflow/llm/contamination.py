@@ -162,6 +162,29 @@ def verify(doc: list[str], hits: list[tuple[int, int, int]], index: ItemIndex, p
     return found
 
 
+def _blocks(items, item_id: str, item_text: str, n: int, contexts: int, block_words: int, words_total: int) -> list[ItemIndex]:
+    """The held-out items, read to the driver, as indexes of a bounded number of words."""
+    rows = (
+        items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+        .filter(F.col("i").isNotNull() & F.col("t").isNotNull())
+        .distinct()
+    )
+    size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    if size > 6 * words_total:
+        raise ValueError(f"held-out texts of {size} characters are not a side to broadcast")
+    held = sorted((int(r["i"]), r["t"]) for r in rows.collect())
+    everyone = [words_of(t) for t in dict.fromkeys(t for _, t in held)]
+    blocks, at = [], 0
+    while at < len(held):
+        end, words = at, 0
+        while end < len(held) and (words == 0 or words < block_words):
+            words += len(held[end][1]) // 5
+            end += 1
+        blocks.append(ItemIndex(held[at:end], n, contexts, everyone))
+        at = end
+    return blocks
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -179,6 +202,7 @@ def leaks(
     gap: float = -1.5,
     block_words: int = 1_000_000,
     words_total: int = 50_000_000,
+    most_chars: int = 2_000_000,
 ) -> DataFrame:
     """Leaked spans ``(doc_id, item_id, word_from, word_to)``.
 
@@ -191,28 +215,12 @@ def leaks(
 
     ``items`` is the held-out side and has to be small: it is read to the
     driver, and more than ``words_total`` words are refused. Tasks get it in
-    blocks of ``block_words`` words, one scan of the documents for each.
+    blocks of ``block_words`` words, one scan of the documents for each;
+    ``most_chars`` bounds the text that is looked through at a time.
     """
-    rows = (
-        items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-        .filter(F.col("i").isNotNull() & F.col("t").isNotNull())
-        .distinct()
-    )
-    size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    if size > 6 * words_total:
-        raise ValueError(f"held-out texts of {size} characters are not a side to broadcast")
-    held = sorted((int(r["i"]), r["t"]) for r in rows.collect())
+    blocks = _blocks(items, item_id, item_text, n, contexts, block_words, words_total)
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, word_from int, word_to int"
-    everyone = [words_of(t) for t in dict.fromkeys(t for _, t in held)]
-    blocks, at = [], 0
-    while at < len(held):
-        end, words = at, 0
-        while end < len(held) and (words == 0 or words < block_words):
-            words += len(held[end][1]) // 5
-            end += 1
-        blocks.append(held[at:end])
-        at = end
     settings = {"least_words": least_words, "least_hits": least_hits, "least_share": least_share, "band": band,
                 "miss": miss, "gap": gap}
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(
@@ -221,47 +229,66 @@ def leaks(
     source = spread(source)
     spark, result = docs.sparkSession, None
     for block in blocks:
-        part = source.mapInPandas(_scanner(spark, ItemIndex(block, n, contexts, everyone), settings), schema)
+        part = source.mapInPandas(_scanner(spark, block, settings, most_chars), schema)
         result = part if result is None else result.unionByName(part)
     return spark.createDataFrame([], schema) if result is None else result
 
 
-def _scanner(spark, index: ItemIndex, settings: dict):
+def _batches(pdf: pd.DataFrame, column: str, most_chars: int) -> Iterator[pd.DataFrame]:
+    """Parts of a batch whose texts hold ``most_chars`` characters at most; a longer text is a part of its own."""
+    sizes = pdf[column].str.len().fillna(0).to_numpy(dtype=np.int64)
+    part = (np.cumsum(sizes) - sizes) // most_chars
+    for _, rows in pdf.groupby(part, sort=True):
+        yield rows
+
+
+class Search:
+    """Finds the leaks of one block of items in lists of texts."""
+
+    def __init__(self, index: ItemIndex, settings: dict) -> None:
+        self.index, self.settings = index, settings
+        self.ids = Cache(lambda w: index.ids.get(plain(w), 0))
+
+    def spans(self, texts: list[str]) -> dict[int, list[tuple[int, int, int]]]:
+        """Position of a text -> its leaks ``(item, from word, to word)``."""
+        index, get, n = self.index, self.ids.__getitem__, self.index.n
+        flat: list[int] = []
+        bounds = [0]
+        for t in texts:
+            flat.extend(map(get, spelled(composed(t))))
+            flat.append(0)
+            bounds.append(len(flat))
+        known = np.array(flat, dtype=np.uint64)
+        if len(known) < n or not len(index.hashes):
+            return {}
+        ok = known[: len(known) - n + 1] > 0
+        for k in range(1, n):
+            ok &= known[k : len(known) - n + 1 + k] > 0
+        spots = np.flatnonzero(ok)
+        if not len(spots):
+            return {}
+        h = gram_hashes(known, n)[spots]
+        at = np.minimum(np.searchsorted(index.hashes, h), len(index.hashes) - 1)
+        hit = index.hashes[at] == h
+        spots, h = spots[hit], h[hit]
+        owner = np.searchsorted(np.array(bounds), spots, side="right") - 1
+        by_doc: dict[int, list] = defaultdict(list)
+        for d, s, x in zip(owner.tolist(), spots.tolist(), h.tolist(), strict=True):
+            by_doc[d] += [(s - bounds[d], i, k) for i, k in index.seeds[x]]
+        found = {d: verify(words_of(texts[d]), hits, index, self.settings) for d, hits in by_doc.items()}
+        return {d: spans for d, spans in found.items() if spans}
+
+
+def _scanner(spark, index: ItemIndex, settings: dict, most_chars: int):
     shared = spark.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        n = index.n
-        ids = Cache(lambda w: index.ids.get(plain(w), 0))
-        get = ids.__getitem__
-        for pdf in batches:
-            keys, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
-            found: list[tuple] = []
-            flat: list[int] = []
-            bounds = [0]
-            for t in texts:
-                flat.extend(map(get, spelled(composed(t))))
-                flat.append(0)
-                bounds.append(len(flat))
-            known = np.array(flat, dtype=np.uint64)
-            if len(known) >= n:
-                ok = known[: len(known) - n + 1] > 0
-                for k in range(1, n):
-                    ok &= known[k : len(known) - n + 1 + k] > 0
-                spots = np.flatnonzero(ok)
-                if len(spots) and len(index.hashes):
-                    h = gram_hashes(known, n)[spots]
-                    at = np.minimum(np.searchsorted(index.hashes, h), len(index.hashes) - 1)
-                    hit = index.hashes[at] == h
-                    spots, h = spots[hit], h[hit]
-                    owner = np.searchsorted(np.array(bounds), spots, side="right") - 1
-                    by_doc: dict[int, list] = defaultdict(list)
-                    for d, s, x in zip(owner.tolist(), spots.tolist(), h.tolist(), strict=True):
-                        by_doc[d] += [(s - bounds[d], i, k) for i, k in index.seeds[x]]
-                    for d, hits in by_doc.items():
-                        leaked = verify(words_of(texts[d]), hits, index, settings)
-                        found += [(keys[d], i, a, b) for i, a, b in leaked]
-            yield pd.DataFrame(found, columns=["doc_id", "item_id", "word_from", "word_to"])
+        search = Search(shared.value, settings)
+        for whole in batches:
+            for pdf in _batches(whole, "text", most_chars):
+                keys = pdf["doc_id"].tolist()
+                found = [(keys[d], *s) for d, spans in search.spans(pdf["text"].tolist()).items() for s in spans]
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "word_from", "word_to"])
 
     return scan
 
@@ -271,49 +298,63 @@ def found_pairs(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     return leaks(docs, items, **kw).select("doc_id", "item_id").distinct()
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The documents with leaked spans cut out.
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the words of the spans, and how many these are."""
+    t = visible(text)  # word numbers were counted on the visible text
+    marks = [m.span() for m in WORD.finditer(t.replace("_", " "))]
+    cutting = np.zeros(len(marks), dtype=bool)
+    for a, b in spans:
+        cutting[a:b] = True
+    kept, pos = [], 0
+    runs = np.flatnonzero(np.diff(np.concatenate([[0], cutting.astype(np.int8), [0]])))
+    for a, b in runs.reshape(-1, 2):
+        kept.append(t[pos : marks[a][0]])
+        pos = marks[b - 1][1]
+    kept.append(t[pos:])
+    return "".join(kept), int(cutting.sum())
+
+
+def without_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    n: int = 4,
+    contexts: int = 2,
+    block_words: int = 1_000_000,
+    words_total: int = 50_000_000,
+    most_chars: int = 2_000_000,
+    **settings,
+) -> DataFrame:
+    """The documents with leaked spans cut out where they are found, in one scan.
 
     All columns of ``docs``, the text cleaned, and ``leaked_words`` (0 where
-    nothing was cut; it replaces a column of that name). The spans of a document are gathered per id: their number
-    is that of the items it holds.
+    nothing was cut; it replaces a column of that name). All blocks of items are
+    with every task, so the held-out side is bounded by ``words_total`` words.
+    Rows are cut each by itself, repeated ones too; null and empty texts stay.
+    Other settings as in :func:`leaks`.
     """
-    free = lambda name: next(n for k in range(len(docs.columns) + 1) if (n := f"{name}{k}") not in docs.columns)
-    key, cuts, clean = free("_leak_id"), free("_leak_spans"), free("_leak_clean")
-    spans = (
-        leaks(docs, items, doc_id=doc_id, text=text, **kw)
-        .groupBy(F.col("doc_id").alias(key))
-        .agg(F.sort_array(F.collect_set(F.struct("word_from", "word_to"))).alias(cuts))
-    )
-    empty = F.array().cast("array<struct<word_from:int,word_to:int>>")
-    joined = docs.join(spans, docs[doc_id] == spans[key], "left").drop(key)
-    joined = joined.withColumn(cuts, F.coalesce(cuts, empty))
+    settings = {"least_words": 20, "least_hits": 1, "least_share": 0.75, "band": 8, "miss": -2.0, "gap": -1.5} | settings
+    spark = docs.sparkSession
+    shared = [spark.sparkContext.broadcast(b) for b in _blocks(items, item_id, item_text, n, contexts, block_words, words_total)]
+    free = next(name for k in range(len(docs.columns) + 1) if (name := f"_leak{k}") not in docs.columns)
 
     @F.pandas_udf("text string, leaked_words int")
-    def strip(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, s in zip(texts, spans, strict=True):
-            if t is None or len(s) == 0:
-                out.append((t, 0))
-                continue
-            # Word numbers were counted on the visible text.
-            t = visible(t)
-            marks = [m.span() for m in WORD.finditer(t.replace("_", " "))]
-            cutting = np.zeros(len(marks), dtype=bool)
-            for x in s:
-                cutting[x["word_from"] : x["word_to"]] = True
-            kept, pos = [], 0
-            runs = np.flatnonzero(np.diff(np.concatenate([[0], cutting.astype(np.int8), [0]])))
-            for a, b in runs.reshape(-1, 2):
-                kept.append(t[pos : marks[a][0]])
-                pos = marks[b - 1][1]
-            kept.append(t[pos:])
-            out.append(("".join(kept), int(cutting.sum())))
-        return pd.DataFrame(out, columns=["text", "leaked_words"])
-
-    return (
-        joined.withColumn(clean, strip(F.col(text), F.col(cuts)))
-        .withColumn(text, F.col(f"{clean}.text"))
-        .withColumn("leaked_words", F.col(f"{clean}.leaked_words"))
-        .drop(clean, cuts)
-    )
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        searches = [Search(b.value, settings) for b in shared]
+        for series in batches:
+            out = []
+            for pdf in _batches(series.to_frame("t").reset_index(drop=True), "t", most_chars):
+                texts = [t or "" for t in pdf["t"]]
+                spans: dict[int, list] = defaultdict(list)
+                for search in searches:
+                    for d, found in search.spans(texts).items():
+                        spans[d] += [(a, b) for _, a, b in found]
+                out += [cut_spans(t, spans[d]) if d in spans else (t, 0) for d, t in enumerate(pdf["t"])]
+            yield pd.DataFrame(out, columns=["text", "leaked_words"])
+
+    rest = [c for c in docs.columns if c not in (text, "leaked_words")]
+    found = spread(docs).withColumn(free, clean(F.col(text)))
+    picked = found.select(*rest, F.col(f"{free}.text").alias(text), F.col(f"{free}.leaked_words").alias("leaked_words"))
+    return picked.select(*docs.columns, *([] if "leaked_words" in docs.columns else ["leaked_words"]))

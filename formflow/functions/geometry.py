@@ -143,3 +143,13 @@ def fold_angle(angle: Column) -> Column:
 
 def degrees(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.atan2(y2 - y1, x2 - x1) * (180.0 / math.pi)
+
+
+def aligned(width: Column, height: Column, template_width: Column, template_height: Column, room: int = 50) -> Column:
+    """Size of a page once aligned with its template: the template's where either side differs by more
+    than ``room``, else its own; the score is always 1. Null template sizes leave a page as it is."""
+    far = F.coalesce((F.abs(width - template_width) > room) | (F.abs(height - template_height) > room), F.lit(False))
+    return F.struct(
+        F.when(far, template_width).otherwise(width).alias("width"), F.when(far, template_height).otherwise(height).alias("height"),
+        F.lit(1.0).alias("score"),
+    )

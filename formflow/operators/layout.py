@@ -215,3 +215,10 @@ def sorted_boxes(boxes: DataFrame, by: list[str]) -> DataFrame:
     return boxes.withColumn("box_idx", F.row_number().over(w) - 1)
 
 
+
+
+def with_layout(pages: DataFrame, summary: DataFrame, page: str = "page_id") -> DataFrame:
+    """``pages`` with their counts of :func:`layout_summary`, zeros and ``has_layout`` false where there are none."""
+    counts = [c for c in summary.columns if c != page]
+    joined = pages.join(summary.withColumn("has_layout", F.lit(True)), page, "left")
+    return joined.fillna(0, counts).withColumn("has_layout", F.coalesce("has_layout", F.lit(False)))

@@ -89,3 +89,8 @@ def latest_definitions(rows: DataFrame, key: str, order: list[str]) -> DataFrame
     """One definition per key, the last in order; rows without a key are left out."""
     picked = rows.filter(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key)
     return picked.agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("r")).select(key, "r.*")
+
+
+def registered(rows: DataFrame, registry: DataFrame, form_type: str, value: str) -> DataFrame:
+    """``rows`` with the registry's ``value`` of their form type, null where it is unknown; repeated entries: the least."""
+    return rows.join(registry.groupBy(form_type).agg(F.min(value).alias(value)), form_type, "left")

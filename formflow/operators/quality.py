@@ -84,6 +84,11 @@ def class_counts(samples: DataFrame, label: str, classes: int = 10) -> DataFrame
     return spark.range(classes).select(F.col("id").cast("int").alias("label")).join(counted, "label", "left").fillna(0, ["n"])
 
 
+def labels(samples: DataFrame, label: str) -> DataFrame:
+    """The different labels; null is none."""
+    return samples.select(label).filter(F.col(label).isNotNull()).distinct()
+
+
 def balance_gate(counts: DataFrame, least: int = 10, ratio: float = 5.0) -> DataFrame:
     """One row: the verdict before training.
 

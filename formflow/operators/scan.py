@@ -218,6 +218,18 @@ def template_cells(pages: DataFrame, definitions: DataFrame) -> DataFrame:
     )
 
 
+def fill_empty(rows: DataFrame, read: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """``rows`` with ``column`` filled from ``read`` (``by, text``) where it is null or empty, and whether it was.
+
+    What holds a text keeps it; where nothing was read (no row, null or an empty
+    text) the column stays null. Several texts under one key: the least.
+    """
+    texts = read.filter("text <> ''").groupBy(*by).agg(F.min("text").alias("_text"))
+    own = F.nullif(F.col(column), F.lit(""))
+    joined = rows.join(texts, by, "left")
+    return joined.withColumn("filled", own.isNull() & F.col("_text").isNotNull()).withColumn(column, F.coalesce(own, "_text")).drop("_text")
+
+
 def scan_statistics(cells: DataFrame, by: list[str]) -> DataFrame:
     """Counters of a template scan: cells that can't be cropped count in the total only.
 

@@ -22,13 +22,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, queries: dict | None = None, oracles: dict | None = None):
     """Register a query under its name, with its SQL if SQL can express it."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        (QUERIES if queries is None else queries)[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = (DETECTIONS + sql) if "FROM det" in sql or "JOIN det" in sql else sql
+            (ORACLES if oracles is None else oracles)[f.__name__] = (DETECTIONS + sql) if "FROM det" in sql or "JOIN det" in sql else sql
         return f
 
     return add
@@ -178,20 +178,32 @@ def text_at_height(spark, folder):
     return scan.text_at(blobs, texts, "code").select("page_id", "det_idx", "code")
 
 
-@query()
+@query("""
+, b AS (SELECT DISTINCT page_id, det_idx, text, confidence, x, y, width, height, y + height / 2.0 AS yc FROM det WHERE text IS NOT NULL),
+s AS (SELECT page_id, CAST(trunc(yc) AS INT) AS slot, arg_max(text, (det_idx, text)) AS t FROM b GROUP BY ALL)
+SELECT b.page_id, b.det_idx AS blob_idx, b.text AS digit, floor(b.confidence * 1000 + 0.5) / 1000 AS confidence, ['Mo','Di','Mi','Do','Fr'][CAST(least(trunc(b.x / 496.0), 4) AS INT) + 1] AS "column",
+  CAST(trunc(b.yc) AS INT) AS y_center, CAST(b.x - floor((87 - b.width) / 2.0) AS INT) AS box_x, CAST(b.y - floor((87 - b.height) / 2.0) AS INT) AS box_y,
+  regexp_replace(regexp_replace(s.t, '^\\[\\s*', ''), '^\\]\\s*', '') AS product_name, s.t AS product_code
+FROM b LEFT JOIN s ON s.page_id = b.page_id AND s.slot = CAST(trunc(b.yc) AS INT) WHERE regexp_matches(b.text, '^\\d$') AND b.confidence >= 0.4""")
 def row_scan_orders(spark, folder):
     """Row path end to end: blobs, digits (position and confidence of detections) and texts."""
-    d = detections(spark, folder).filter("text IS NOT NULL")
+    d = detections(spark, folder).filter("text IS NOT NULL").drop("bbox").distinct()
+    # A blob is keyed by all it was read from, since repeated pages repeat its number.
+    key = F.struct("det_idx", "text", "confidence", "x", "y", "width", "height").alias("blob_idx")
     blobs = d.select(
-        "page_id", F.col("det_idx").alias("blob_idx"), F.lit(0).alias("zone_idx"), G.grid_index(F.col("x"), F.lit(496.0), F.lit(5)).alias("col_idx"),
+        "page_id", key, F.lit(0).alias("zone_idx"), G.grid_index(F.col("x"), F.lit(496.0), F.lit(5)).alias("col_idx"),
         (F.col("y") + F.col("height") / 2.0).alias("y_center"), G.rect(*[F.col(c) for c in ("x", "y", "width", "height")]).alias("rect"),
     )
-    digits = d.select("page_id", F.col("det_idx").alias("blob_idx"), T.found(F.col("text"), r"^(\d)$").alias("digit"), "confidence")
+    digits = d.select("page_id", key, T.found(F.col("text"), r"^(\d)$").alias("digit"), "confidence")
     texts = d.select(
-        "page_id", F.col("det_idx").alias("blob_idx"), (F.col("y") + F.col("height") / 2.0).alias("y_center"),
+        "page_id", F.struct("det_idx", "text").alias("blob_idx"), (F.col("y") + F.col("height") / 2.0).alias("y_center"),
         F.explode(F.array(F.lit("code"), F.lit("name"))).alias("kind"), "text",
     )
-    return scan.row_orders(blobs, digits, texts, F.lit(1.0), F.lit(1.0))
+    lines = scan.row_orders(blobs, digits, texts, F.lit(1.0), F.lit(1.0))
+    return lines.select(
+        "page_id", F.col("blob_idx.det_idx").alias("blob_idx"), "digit", "confidence", "column", "y_center",
+        F.col("box.x").alias("box_x"), F.col("box.y").alias("box_y"), "product_name", "product_code",
+    )
 
 
 @query("""

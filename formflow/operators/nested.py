@@ -31,10 +31,8 @@ from pyspark.sql import types as T
 
 from formflow.session import spread
 
-ELEMENTS = (
-    "record_id string, child_kind string, parent_kind string, parent_key string, child_key string, "
-    "fields map<string,string>"
-)
+KEYS = "record_id string, child_kind string, parent_kind string, parent_key string, child_key string"
+ELEMENTS = f"{KEYS}, fields map<string,string>"
 #: Template definitions: names of repeated ancestors, the kind of their elements, the field that is an element's key.
 TEMPLATE_KINDS = {"columns": ("column", "index"), "products": ("product", "row"), "cells": ("cell", "name")}
 
@@ -49,8 +47,13 @@ _VALUE = re.compile(
     rf"|(\{{{_GAP}\}})|(\[{_GAP}\])|(\{{)|(\[))"
 )
 _KEY = re.compile(_GAP + _TEXT + _GAP + ":")
-_NEXT = re.compile(_GAP + r"([,}\]])")
+_NEXT = re.compile(_GAP + "(?:," + _GAP + _TEXT + _GAP + r":|([,}\]]))")
 _END = re.compile(_GAP + r"\Z")
+# A plain value in a container with what follows it: the most frequent case in one match.
+_LEAF = re.compile(
+    _GAP + "(?:" + _TEXT + r"|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))"
+    + _GAP + "(?:," + _GAP + _TEXT + _GAP + r":|([,}\]]))"
+)
 _LITERALS = {"true": True, "false": False, "null": None}
 
 Triple = tuple[tuple, tuple[int, ...], object]
@@ -84,48 +87,75 @@ def stream(text: str, path: tuple = (), at: tuple[int, ...] = ()) -> Iterator[Tr
         keys.append(name)
         return m.end()
 
+    leaf, value_at, next_at = _LEAF.match, _VALUE.match, _NEXT.match
     while True:
-        m = _VALUE.match(text, pos)
-        if m is None:
-            raise ValueError(f"no value at {pos}")
-        pos, kind = m.end(), m.lastindex
-        if kind > 5:
-            if len(frames) == MOST_DEEP:
-                raise ValueError("nested too deeply")
-            frames.append(set() if kind == 6 else None)
-            if kind == 6:
-                pos = key()
+        m = leaf(text, pos) if frames else None
+        if m is not None:
+            raw, number, word, name, mark = m.groups()
+            if raw is not None:
+                if "\\" in raw or raw.lstrip()[:1] in ("{", "["):
+                    yield from embedded(_plain(raw), tuple(keys), tuple(spots))
+                else:
+                    yield tuple(keys), tuple(spots), raw
+            elif number is not None:
+                yield tuple(keys), tuple(spots), int(number) if number.lstrip("-").isdigit() else float(number)
             else:
-                keys.append(EACH)
-                spots.append(0)
-            continue
-        if kind == 1:
-            yield from embedded(_plain(m[1]), tuple(keys), tuple(spots))
+                yield tuple(keys), tuple(spots), _LITERALS[word]
+            pos = m.end()
         else:
-            number = kind == 2 and (int(m[2]) if m[2].lstrip("-").isdigit() else float(m[2]))
-            yield tuple(keys), tuple(spots), number if kind == 2 else _LITERALS[m[3]] if kind == 3 else {} if kind == 4 else []
-        while True:
-            if not frames:
-                if _END.match(text, pos) is None:
-                    raise ValueError(f"more text at {pos}")
-                return
-            m = _NEXT.match(text, pos)
+            m = value_at(text, pos)
             if m is None:
-                raise ValueError(f"no end of a value at {pos}")
-            pos, mark, array = m.end(), m[1], frames[-1] is None
-            if mark == ",":
-                if array:
-                    spots[-1] += 1
-                else:
-                    keys.pop()
+                raise ValueError(f"no value at {pos}")
+            pos, kind = m.end(), m.lastindex
+            if kind > 5:
+                if len(frames) == MOST_DEEP:
+                    raise ValueError("nested too deeply")
+                frames.append(set() if kind == 6 else None)
+                if kind == 6:
                     pos = key()
+                else:
+                    keys.append(EACH)
+                    spots.append(0)
+                continue
+            if kind == 1:
+                yield from embedded(_plain(m[1]), tuple(keys), tuple(spots))
+            elif kind == 2:
+                yield tuple(keys), tuple(spots), int(m[2]) if m[2].lstrip("-").isdigit() else float(m[2])
+            else:
+                yield tuple(keys), tuple(spots), _LITERALS[m[3]] if kind == 3 else {} if kind == 4 else []
+            name = mark = None
+        while True:
+            if name is None and mark is None:
+                if not frames:
+                    if _END.match(text, pos) is None:
+                        raise ValueError(f"more text at {pos}")
+                    return
+                m = next_at(text, pos)
+                if m is None:
+                    raise ValueError(f"no end of a value at {pos}")
+                pos, name, mark = m.end(), m[1], m[2]
+            seen = frames[-1]
+            if mark is None:  # a comma and the next key
+                if seen is None:
+                    raise ValueError(f"key in an array at {pos}")
+                name = _plain(name)
+                if name in seen:
+                    raise RepeatedKey(name)
+                seen.add(name)
+                keys[-1] = name
+                break
+            if mark == ",":
+                if seen is not None:
+                    raise ValueError(f"no key at {pos}")
+                spots[-1] += 1
                 break
-            if array != (mark == "]"):
+            if (seen is None) != (mark == "]"):
                 raise ValueError(f"wrong bracket at {pos}")
             frames.pop()
             keys.pop()
-            if array:
+            if seen is None:
                 spots.pop()
+            name = mark = None
 
 
 def embedded(value: str, path: tuple, at: tuple[int, ...]) -> list[Triple]:
@@ -224,9 +254,10 @@ class Groups:
         self.kinds = kinds
         shapes: dict[tuple, int] = {}
         for path, _, value in rows:
-            rank = 0 if value is None else 1 if _is_empty(value) else 2
-            if shapes.get(path, -1) < rank:
-                shapes[path] = rank
+            if shapes.get(path, -1) < 2:
+                rank = 0 if value is None else 1 if _is_empty(value) else 2
+                if shapes.get(path, -1) < rank:
+                    shapes[path] = rank
         members: dict[tuple, dict[str, list]] = {}
         for path, rank in shapes.items():
             for i, key in enumerate(path):
@@ -243,13 +274,13 @@ class Groups:
                 held[2] |= j == i + 1 == len(path) and rank == 2
         #: Objects that hold their elements by name.
         self.by_name = {p for p, held in members.items() if self._alike(p, held)}
+        plain = {p for p, rank in shapes.items() if rank == 2 and p and p[-1] is not EACH and p[:-1] in self.by_name}
         #: Instances of such paths that hold plain values are one element themselves.
         self.single = {
-            (path[:-1], at)
-            for path, at, value in rows
-            if path and path[-1] is not EACH and path[:-1] in self.by_name and value is not None and not _is_empty(value)
-        }
+            (path[:-1], at) for path, at, value in rows if path in plain and value is not None and not _is_empty(value)
+        } if plain else set()
         self.plans: dict[tuple, tuple] = {}
+        self.prefixes: dict[tuple, int] = {}
 
     def named(self, path: tuple) -> bool:
         return self.kinds is None or (len(path) > 0 and path[-1] in self.kinds)
@@ -263,14 +294,16 @@ class Groups:
             return False
         return bool(set.intersection(*keyed)) if keyed else self.kinds is not None
 
-    def plan(self, path: tuple, at: tuple[int, ...]) -> tuple[tuple[int, int, str, str | None], ...]:
-        """``(length of the element's path, of its ordinals, name of the group, name of the element)``
-        of every element around a leaf, from the outside in."""
-        if not self.single:
-            if path not in self.plans:
-                self.plans[path] = tuple(self._elements(path, at))
+    def plan(self, path: tuple, at: tuple[int, ...]) -> tuple:
+        """``(number of the element's path, length of it, of its ordinals, name of the group, name of the element)``
+        of every element around a leaf, from the outside in; and the name of the leaf, if it passes no array."""
+        if not self.single and path in self.plans:
             return self.plans[path]
-        return tuple(self._elements(path, at))
+        number = self.prefixes.setdefault
+        chain = tuple((number(path[:n], len(self.prefixes)), n, *rest) for n, *rest in self._elements(path, at))
+        below = path[chain[-1][1] :] if chain else ()
+        plan = self.plans[path] = chain, None if EACH in below else ".".join(below) or "@"
+        return plan
 
     def _elements(self, path: tuple, at: tuple[int, ...]):
         n, taken, passed = len(path), -1, 0
@@ -296,35 +329,47 @@ class Groups:
                 yield e, passed, group, None
 
 
-def pivoted(rows: list[Triple], kinds: dict[str, tuple[str, str]] | None = None) -> list[tuple]:
+def pivoted(
+    rows: list[Triple], kinds: dict[str, tuple[str, str]] | None = None, keys_only: bool = False
+) -> list[tuple]:
     """Elements ``(kind, parent kind, parent key, own key, fields)`` of a record's triples.
 
     An element's key is its key field, else its name; without ``kinds`` its name
     or position. ``fields`` are the leaves by path below the element, groups
-    inside it left out; the leaf of a plain element is named ``@``. Null
-    elements are no elements but keep their position.
+    inside it left out; the leaf of a plain element is named ``@``; with
+    ``keys_only`` only key fields are kept. Null elements are no elements but
+    keep their position.
     """
     groups = Groups(rows, kinds)
     found: dict[tuple, list] = {}
+    get, plan = found.get, groups.plan
+    wanted = {key for _, key in kinds.values()} if keys_only and kinds else None
     for path, at, value in rows:
-        chain = groups.plan(path, at)
+        chain, field = plan(path, at)
         if not chain:
             continue
-        n, _, _, name = chain[-1]
+        number, n, m, _, name = chain[-1]
         # A null, or an array without elements, is no element of its own; nor is an object of nulls one by its name alone.
-        if (n == len(path) and (value is None or value == [])) or (value is None and name is None and path[n - 1] is not EACH):
+        if (value is None or value == []) and (n == len(path) or (value is None and name is None and path[n - 1] is not EACH)):
             chain, value = chain[:-1], None
-        parent = element = None
-        for n, m, group, name in chain:
-            key = (path[:n], at[:m])
-            element = found.get(key)
-            if element is None:
-                element = found[key] = [group, parent, name, at[m - 1] if m else 0, {}]
-            parent = element
-        if element is not None and value is not None and not _is_empty(value):
+            if not chain:
+                continue
+            number, n, m, _, name = chain[-1]
+        element = get((number, at[:m]))
+        if element is None:
+            for number, n, m, group, name in chain:
+                outer, element = element, get((number, at[:m]))
+                if element is None:
+                    element = found[number, at[:m]] = [group, outer, name, at[m - 1] if m else 0, {}]
+        if value is None or _is_empty(value):
+            continue
+        if field is None:
+            if wanted is not None:
+                continue
             spots = iter(at[m:])
             field = ".".join(str(next(spots)) if k is EACH else k for k in path[n:])
-            element[4][field or "@"] = text_of(value)
+        if wanted is None or field in wanted:
+            element[4][field] = text_of(value)
 
     def kind_of(e: list) -> str:
         return e[0] if kinds is None else kinds[e[0]][0]
@@ -340,15 +385,16 @@ def pivoted(rows: list[Triple], kinds: dict[str, tuple[str, str]] | None = None)
 
 
 def element_tables(
-    df: DataFrame, record_id: str, body: str, kinds: dict[str, tuple[str, str]] | None = None
+    df: DataFrame, record_id: str, body: str, kinds: dict[str, tuple[str, str]] | None = None, keys_only: bool = False
 ) -> DataFrame:
     """One row per element of every group, linked to its parent element.
 
     Columns ``record_id, child_kind, parent_kind, parent_key, child_key,
     fields``. Records whose body is null or no valid JSON, and null ids, give
     no rows; repeated records give repeated rows. ``kinds`` as in
-    :class:`Groups`; other columns aren't read.
+    :class:`Groups`; other columns aren't read. ``keys_only``: without ``fields``.
     """
+    columns = ["record_id", "child_kind", "parent_kind", "parent_key", "child_key"] + ([] if keys_only else ["fields"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -358,13 +404,13 @@ def element_tables(
                     found = record_triples(text)
                 except ValueError:
                     continue
-                rows += [(rid, *e) for e in pivoted(found, kinds)]
-            yield pd.DataFrame(
-                rows, columns=["record_id", "child_kind", "parent_kind", "parent_key", "child_key", "fields"]
-            )
+                rows += [(rid, *e[: len(columns) - 1]) for e in pivoted(found, kinds, keys_only)]
+            yield pd.DataFrame(rows, columns=columns)
 
     rows = df.select(F.col(record_id).cast("string").alias("record_id"), F.col(body).alias("body"))
-    return spread(rows.filter(F.col("record_id").isNotNull() & F.col("body").isNotNull())).mapInPandas(run, ELEMENTS)
+    return spread(rows.filter(F.col("record_id").isNotNull() & F.col("body").isNotNull())).mapInPandas(
+        run, KEYS if keys_only else ELEMENTS
+    )
 
 
 def template_children(df: DataFrame, record_id: str = "definition_id", body: str = "body") -> DataFrame:
@@ -375,7 +421,7 @@ def template_children(df: DataFrame, record_id: str = "definition_id", body: str
     out.
     """
     return (
-        element_tables(df, record_id, body, TEMPLATE_KINDS)
+        element_tables(df, record_id, body, TEMPLATE_KINDS, keys_only=True)
         .select(
             "record_id",
             "child_kind",

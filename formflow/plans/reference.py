@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from formflow.functions import geometry as G
 from formflow.functions import text as T
 from formflow.operators import emails, layout, matching, quality, scan, zones
-from formflow.session import table
+from formflow.session import cut, table
 from formflow.streaming import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,16 +44,21 @@ WITH det AS (
 """
 
 
-def detections(spark: SparkSession, folder: str) -> DataFrame:
+def blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Detections as often as their page is saved, for what repeated rows don't change; nothing is moved."""
     rows = table(spark, folder, "ocr_pages").select("page_id", F.posexplode("text_blocks").alias("det_idx", "b"))
     return (
         rows.filter(F.col("b").isNotNull())
         .select("page_id", "det_idx", "b.text", "b.confidence", "b.bounds.x", "b.bounds.y", "b.bounds.width", "b.bounds.height", "b.bbox")
         .filter("x IS NOT NULL AND y IS NOT NULL AND width > 0 AND height > 0")
-        .distinct()
     )
 
 
+def detections(spark: SparkSession, folder: str) -> DataFrame:
+    """Detections of every page once."""
+    return blocks(spark, folder).distinct()
+
+
 # ---- scans -------------------------------------------------------------------------------------------------------------
 
 
@@ -70,7 +75,7 @@ SELECT page_id, CAST(count(*) AS BIGINT) AS cells, CAST(count(*) FILTER (regexp_
 FROM firsts GROUP BY page_id""")
 def scan_order_lines(spark, folder):
     """Flagship: detections to order lines and their statistics per page."""
-    found = detections(spark, folder).filter("confidence >= 0.4 AND text IS NOT NULL")
+    found = blocks(spark, folder).filter("confidence >= 0.4 AND text IS NOT NULL")
     x, y = F.col("x") + F.col("width") / 2.0, F.col("y") + F.col("height") / 2.0 - 150
     cells = scan.grid_cells(found, x, y, F.lit(496.0), F.lit(53.0), F.lit(5), F.lit(1000)).filter("row_idx <= 59")
     first = cells.groupBy("page_id", "row_idx", "col_idx").agg(F.min_by("text", F.struct("det_idx", "text")).alias("text"))
@@ -85,7 +90,7 @@ def scan_order_lines(spark, folder):
         CAST(trunc((y + height / 2.0 - 150) / 53.0) AS INT) AS row_idx FROM det WHERE text IS NOT NULL)
 SELECT page_id, row_idx, arg_min(clean, (det_idx, clean)) AS text FROM r WHERE row_idx BETWEEN 0 AND 51 AND clean <> '' GROUP BY ALL""")
 def row_codes(spark, folder):
-    d = detections(spark, folder).withColumn("clean", T.product_code(F.col("text")))
+    d = blocks(spark, folder).withColumn("clean", T.product_code(F.col("text")))
     return scan.row_texts(d, F.col("clean"), F.col("y") + F.col("height") / 2.0, F.lit(-150), F.lit(53.0), F.lit(52), ["det_idx", "clean"])
 
 
@@ -94,7 +99,7 @@ def row_codes(spark, folder):
         CAST(trunc((y + height / 2.0 - 150) / 53.0) AS INT) AS row_idx FROM det WHERE text IS NOT NULL)
 SELECT page_id, row_idx, arg_min(clean, (det_idx, clean)) AS text FROM r WHERE row_idx BETWEEN 0 AND 51 AND clean <> '' GROUP BY ALL""")
 def row_names(spark, folder):
-    d = detections(spark, folder).withColumn("clean", T.collapse_spaces(F.col("text")))
+    d = blocks(spark, folder).withColumn("clean", T.collapse_spaces(F.col("text")))
     return scan.row_texts(d, F.col("clean"), F.col("y") + F.col("height") / 2.0, F.lit(-150), F.lit(53.0), F.lit(52), ["det_idx", "clean"])
 
 
@@ -112,7 +117,7 @@ def grid_cell_assign(spark, folder):
 SELECT d.page_id, d.det_idx, CAST(coalesce(min(z.zone_idx) FILTER (d.y BETWEEN z.zy AND z.zy + z.zh), 0) AS INT) AS zone_idx
 FROM (SELECT DISTINCT page_id, det_idx, y FROM det) d, z GROUP BY d.page_id, d.det_idx""")
 def interval_zone_join(spark, folder):
-    d = detections(spark, folder).select("page_id", "det_idx", "y").distinct()
+    d = blocks(spark, folder).select("page_id", "det_idx", "y").distinct()
     spans = F.explode(F.array(*[F.struct(F.lit(i).alias("zone_idx"), F.lit(y).alias("y"), F.lit(h).alias("height")) for i, y, h in ((0, 100, 300), (1, 350, 400), (2, 700, 500))]))
     z = d.select("page_id").distinct().select("page_id", spans.alias("z")).select("page_id", "z.*")
     return scan.zone_of(d, z, "y", "det_idx")
@@ -122,7 +127,7 @@ def interval_zone_join(spark, folder):
 , c(name, x_start, x_end) AS (VALUES ('Mo', 0, 500), ('Di', 500, 1000), ('Mi', 1000, 1500), ('Do', 1500, 2000), ('Fr', 2000, 2480))
 SELECT page_id, det_idx, name FROM (SELECT DISTINCT page_id, det_idx, x + width / 2.0 AS xm FROM det) d, c WHERE xm BETWEEN x_start AND x_end""")
 def column_interval_join(spark, folder):
-    d = detections(spark, folder).select("page_id", "det_idx", (F.col("x") + F.col("width") / 2.0).alias("xm")).distinct()
+    d = blocks(spark, folder).select("page_id", "det_idx", (F.col("x") + F.col("width") / 2.0).alias("xm")).distinct()
     cols = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("x_start"), F.lit(b).alias("x_end")) for n, a, b in (("Mo", 0, 500), ("Di", 500, 1000), ("Mi", 1000, 1500), ("Do", 1500, 2000), ("Fr", 2000, 2480))]))
     c = d.select("page_id").distinct().select("page_id", cols.alias("c")).select("page_id", "c.*")
     return scan.columns_of(d, c, "xm").select("page_id", "det_idx", "name")
@@ -244,7 +249,7 @@ def page_routes(spark, folder):
 c AS (SELECT page_id, y, sum(brk) OVER (PARTITION BY page_id ORDER BY y ROWS UNBOUNDED PRECEDING) AS cl FROM g)
 SELECT page_id, CAST(trunc(avg(y)) AS INT) AS center FROM c GROUP BY page_id, cl""")
 def cluster_positions(spark, folder):
-    return layout.cluster_positions(detections(spark, folder).select("page_id", "y").distinct(), "y", ["page_id"])
+    return layout.cluster_positions(blocks(spark, folder).select("page_id", "y").distinct(), "y", ["page_id"])
 
 
 @query("""
@@ -312,7 +317,7 @@ SELECT b.definition_id, b.grid_row AS row, CAST(max(b.x) FILTER (i = 0) AS INT)
   CAST(count(*) FILTER (c.type = 'input') AS BIGINT) AS inputs FROM rest b LEFT JOIN cols c ON c.definition_id = b.definition_id AND c.idx = b.i
 GROUP BY b.definition_id, b.grid_row HAVING count(*) >= 3""")
 def product_rows(spark, folder):
-    g = _grid(spark, folder)
+    g = cut(_grid(spark, folder))
     by = ["definition_id"]
     rows = layout.product_rows(g, layout.grid_columns(g, by), layout.header_rows(g, by, F.lit(3508)), by)
     return rows.select("definition_id", "row", F.col("product_number_cell.x").alias("number_x"), F.col("product_name_cell.x").alias("name_x"), F.size("cells").cast("bigint").alias("inputs"))
@@ -323,7 +328,7 @@ def product_rows(spark, folder):
 SELECT page_id, det_idx, CASE WHEN aspect > 5 THEN 'text_line' WHEN aspect > 2 THEN 'text_field' WHEN aspect > 0.8 AND aspect < 1.2 AND area < 2000 THEN 'checkbox'
   WHEN area > 10000 THEN 'text_area' ELSE 'unknown' END AS type FROM b""")
 def classify_field_type(spark, folder):
-    d = detections(spark, folder)
+    d = blocks(spark, folder)
     kind = G.field_class(F.round(F.col("width") / F.col("height"), 2), F.col("width") * F.col("height"))
     return d.select("page_id", "det_idx", kind.alias("type")).distinct()
 
@@ -336,7 +341,7 @@ FROM box LEFT JOIN b t ON t.page_id = box.page_id AND ((t.x < box.x AND abs(t.y
 GROUP BY box.page_id, box.det_idx""")
 def label_theta_join(spark, folder):
     """First 20 fields of a page with the regions left of or above them."""
-    b = detections(spark, folder).groupBy("page_id", "x", "y", "width", "height").agg(F.min("det_idx").alias("box_idx"))
+    b = blocks(spark, folder).groupBy("page_id", "x", "y", "width", "height").agg(F.min("det_idx").alias("box_idx"))
     fields = layout.label_regions(b, b.withColumnRenamed("box_idx", "region_idx"), limit=20)
     return fields.select("page_id", "box_idx", F.array_join(F.transform("labels", lambda i: i.cast("string")), ",").alias("labels"))
 
@@ -345,7 +350,7 @@ def label_theta_join(spark, folder):
 , a AS (SELECT page_id, max(x + width) AS x2 FROM det WHERE det_idx = 0 GROUP BY page_id)
 SELECT a.page_id, CAST(coalesce(min(d.x) FILTER (d.x > a.x2) + 2, max(a.x2) + 5) AS INT) AS zone_x FROM a LEFT JOIN det d ON d.page_id = a.page_id GROUP BY a.page_id""")
 def forward_asof_line(spark, folder):
-    d = detections(spark, folder)
+    d = blocks(spark, folder)
     a = d.filter("det_idx = 0").groupBy("page_id").agg(F.max(F.col("x") + F.col("width")).alias("x2"))
     return zones.first_right_of(d.select("page_id", "x"), a, "x2")
 
@@ -353,7 +358,7 @@ def forward_asof_line(spark, folder):
 @query()
 def detect_zones(spark, folder):
     """Zones of every page from anchors and line positions (the detections' edges stand in for lines)."""
-    d = detections(spark, folder)
+    d = cut(blocks(spark, folder).drop("bbox").distinct())
     found = d.withColumn("x2", F.col("x") + F.col("width")).withColumn("y2", F.col("y") + F.col("height"))
     pages = d.select("page_id").distinct().withColumn("width", F.lit(2480)).withColumn("height", F.lit(3508))
     return zones.detect_zones(pages, found, d.select("page_id", "x"), d.select("page_id", "y"))
@@ -362,7 +367,7 @@ def detect_zones(spark, folder):
 @query()
 def merge_boxes(spark, folder):
     """Greedy merge of touching text boxes in detection order."""
-    one = detections(spark, folder).groupBy("page_id", "det_idx").agg(*[F.min(c).alias(c) for c in ("x", "y", "width", "height")])
+    one = blocks(spark, folder).groupBy("page_id", "det_idx").agg(*[F.min(c).alias(c) for c in ("x", "y", "width", "height")])
     return layout.merge_boxes(one)
 
 
@@ -390,7 +395,7 @@ SELECT DISTINCT page_id, det_idx, list_min(c[1]) AS bx, list_min(c[2]) AS by, li
   CAST(CAST(trunc(x / 0.37) AS INT) - floor((87 - CAST(trunc(width / 0.37) AS INT)) / 2.0) AS INT) AS dx FROM b""")
 def rectangles(spark, folder):
     """Bounds of corners, scaling and the centred display box."""
-    d = detections(spark, folder).filter("bbox IS NOT NULL AND size(bbox) = 4")
+    d = blocks(spark, folder).filter("bbox IS NOT NULL AND size(bbox) = 4")
     r, b = G.rect(*[F.col(c) for c in ("x", "y", "width", "height")]), G.bounds(F.col("bbox"))
     s, v = G.scaled(r, F.lit(0.37), F.lit(0.41)), G.display_box(r, F.lit(0.37), F.lit(0.41))
     return d.select("page_id", "det_idx", b["x"].alias("bx"), b["y"].alias("by"), b["width"].alias("bw"), b["height"].alias("bh"), s["x"].alias("sx"), s["y"].alias("sy"), v["x"].alias("dx")).distinct()
@@ -412,7 +417,7 @@ SELECT DISTINCT page_id, det_idx, CAST(floor(x * 0.5004 + 0.5) AS INT) AS x_min,
 def editor_scaling(spark, folder):
     r = G.rect(*[F.col(c) for c in ("x", "y", "width", "height")])
     e = G.to_template(r, F.lit(0.5004), F.lit(0.5))
-    return detections(spark, folder).select("page_id", "det_idx", e["x_min"].alias("x_min"), e["x_max"].alias("x_max"), e["width"].alias("width")).distinct()
+    return blocks(spark, folder).select("page_id", "det_idx", e["x_min"].alias("x_min"), e["x_max"].alias("x_max"), e["width"].alias("width")).distinct()
 
 
 @query("""
@@ -421,7 +426,7 @@ SELECT DISTINCT page_id, det_idx, greatest(CAST(trunc(y - 26.5) AS INT), 0) AS t
 def strips_and_insets(spark, folder):
     r = G.rect(*[F.col(c) for c in ("x", "y", "width", "height")])
     top, bottom = G.strip_bounds(F.col("y"), F.lit(53), F.lit(3508))
-    return detections(spark, folder).select("page_id", "det_idx", top.alias("top"), bottom.alias("bottom"), G.inset(r, F.lit(2480), F.lit(3508))["width"].alias("inner_width")).distinct()
+    return blocks(spark, folder).select("page_id", "det_idx", top.alias("top"), bottom.alias("bottom"), G.inset(r, F.lit(2480), F.lit(3508))["width"].alias("inner_width")).distinct()
 
 
 # ---- matching ----------------------------------------------------------------------------------------------------------
@@ -529,7 +534,7 @@ def path_stem(spark, folder):
 @query("""
 SELECT page_id, string_agg(text, ' ' ORDER BY det_idx, text) AS joined FROM (SELECT DISTINCT page_id, det_idx, text FROM det WHERE text IS NOT NULL) GROUP BY page_id""")
 def text_join(spark, folder):
-    d = detections(spark, folder).select("page_id", "det_idx", "text").filter("text IS NOT NULL").distinct()
+    d = blocks(spark, folder).select("page_id", "det_idx", "text").filter("text IS NOT NULL").distinct()
     return d.groupBy("page_id").agg(T.joined(F.col("text"), F.col("det_idx")).alias("joined"))
 
 
@@ -724,7 +729,7 @@ def top20_fields(spark, folder):
 , s AS (SELECT page_id, list_sort(list(DISTINCT x)) AS xs FROM det GROUP BY page_id)
 SELECT page_id, array_to_string(CASE WHEN len(xs) >= 6 THEN xs[-6:] ELSE xs END, ',') AS last_lines FROM s""")
 def last_lines(spark, folder):
-    xs = detections(spark, folder).groupBy("page_id").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    xs = blocks(spark, folder).groupBy("page_id").agg(F.array_sort(F.collect_set("x")).alias("xs"))
     last = F.when(F.size("xs") >= 6, F.slice("xs", -6, 6)).otherwise(F.col("xs"))
     return xs.select("page_id", F.array_join(F.transform(last, lambda v: v.cast("string")), ",").alias("last_lines"))
 

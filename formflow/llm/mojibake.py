@@ -256,11 +256,12 @@ def learn(
     item = lambda t, kind: F.struct(t.alias("token"), F.lit(kind).alias("kind"))
     items = F.concat(
         F.transform(F.split(column, SEPARATORS), lambda t: item(t, 0)),
-        F.array(item(_phrase(F.col(column)), 1), item(_phrase(F.col(column)), 2)),
+        F.array(item(F.col("phrase"), 1), item(F.col("phrase"), 2)),
     )
     runs_marked, each_marked = (F.regexp_replace("token", f"[^\\x00-\\x7f]{more}", MARK) for more in ("+", ""))
     counted = cut(
-        values.select(F.explode(items).alias("t"))
+        values.select(column, _phrase(F.col(column)).alias("phrase"))
+        .select(F.explode(items).alias("t"))
         .select("t.*")
         .filter(F.col("token").rlike("[^\\x00-\\x7f]"))
         .groupBy("token", "kind")

@@ -5,12 +5,12 @@ Three steps:
 1. **Profile.** Every version's body becomes one profile per path (keys from
    the top, array positions left out): the JSON types seen there, a digest of
    all its values in document order exactly as written, type marks included,
-   and on request a sketch of the values, their least hashes.
+   and a sketch of the values, their least hashes.
 2. **Match.** Between neighbouring versions of one set, lost and new paths
-   under the same parent form a bipartite graph. An edge of equal values that is
-   the only one of both its ends is a rename (it is part of every maximum
-   matching). ``prefer_similar`` settles the rest by the maximum-weight matching
-   on name and value similarity.
+   under the same parent form a bipartite graph, weighed by the similarity of
+   names and of values. Its maximum-weight matching gives the pairs; a pair of
+   equal values that is the only one of both its ends is a rename, with
+   ``prefer_similar`` every pair of at least that likeness.
 3. **Unify.** Renames seen anywhere link key names into classes; the most used
    name of a class names the column of the consistent table.
 
@@ -29,6 +29,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,6 +39,8 @@ from formflow.session import cut, spread
 
 ZONES = "set_id string, version_no int, zone_kind string, zone_idx int, fields map<string,string>"
 CHANGES = "set_id string, version_no int, change_kind string, field_path string, old_path string"
+#: Least hashes kept of the values of a path.
+SKETCH = 16
 
 
 class Number(str):
@@ -95,36 +98,42 @@ def as_written(value) -> str:
     return json.dumps(value)
 
 
-class Sketch:
-    """A digest of values in order, exact, and the ``k`` least hashes of the different values."""
-
-    __slots__ = ("digest", "least", "k")
+class Values:
+    """The values of one path in document order. What a comparison doesn't ask for isn't made."""
 
     def __init__(self, k: int) -> None:
-        self.digest, self.least, self.k = hashlib.blake2b(digest_size=16), set(), k
+        self.nodes, self.k = [], k
+
+    @cached_property
+    def types(self) -> tuple[str, ...]:
+        return tuple(sorted({type_of(x) for x in self.nodes}))
 
-    def add(self, text: str) -> None:
-        data = text.encode("utf-8", "surrogatepass")
-        self.digest.update(data + b"\x00")
-        if self.k:
-            self.least.add(zlib.crc32(data))
-            if len(self.least) > 8 * self.k:
-                self.least = set(sorted(self.least)[: self.k])
+    @cached_property
+    def sketch(self) -> tuple[str, frozenset[int]]:
+        """A digest of the values in order, exact, and the ``k`` least hashes of the different values."""
+        digest, least = hashlib.blake2b(digest_size=16), set()
+        for node in self.nodes:
+            data = as_written(node).encode("utf-8", "surrogatepass")
+            digest.update(data + b"\x00")
+            if self.k:
+                least.add(zlib.crc32(data))
+                if len(least) > 8 * self.k:
+                    least = set(sorted(least)[: self.k])
+        return digest.hexdigest(), frozenset(sorted(least)[: self.k])
 
-    def value(self) -> tuple[str, tuple[int, ...]]:
-        return self.digest.hexdigest(), tuple(sorted(self.least)[: self.k])
+    digest = property(lambda self: self.sketch[0])
+    least = property(lambda self: self.sketch[1])
 
 
-def profile(value, k: int = 0) -> dict[tuple[str, ...], tuple[tuple[str, ...], str, tuple[int, ...]]]:
-    """Path -> (sorted types, digest of the values, their ``k`` least hashes). A value null is absent.
+def profile(value, k: int = 0) -> dict[tuple[str, ...], Values]:
+    """Path -> its values (types, digest, their ``k`` least hashes). A value null is absent.
 
     An array's elements stand under the array's own path; the types of a path
     are those of the values its key holds.
     """
-    types: dict[tuple[str, ...], set[str]] = defaultdict(set)
-    values: dict[tuple[str, ...], Sketch] = {}
+    values: dict[tuple[str, ...], Values] = {}
     todo = [((), value)]
-    order: list[tuple[tuple[str, ...], object]] = []
+    # document order of the elements of one path: parents are popped in order
     while todo:
         path, node = todo.pop()
         if isinstance(node, list):
@@ -132,15 +141,12 @@ def profile(value, k: int = 0) -> dict[tuple[str, ...], tuple[tuple[str, ...], s
         elif isinstance(node, dict):
             for key in sorted(node, reverse=True):
                 if node[key] is not None:
-                    todo.append(((*path, key), node[key]))
-                    order.append(((*path, key), node[key]))
-    # document order of the elements of one path: parents are popped in order
-    for path, node in order:
-        types[path].add(type_of(node))
-        if path not in values:
-            values[path] = Sketch(k)
-        values[path].add(as_written(node))
-    return {p: (tuple(sorted(t)), *values[p].value()) for p, t in types.items()}
+                    at = (*path, key)
+                    todo.append((at, node[key]))
+                    if at not in values:
+                        values[at] = Values(k)
+                    values[at].nodes.append(node[key])
+    return values
 
 
 def assignment(weights: list[list[float]]) -> list[int]:
@@ -184,55 +190,98 @@ def assignment(weights: list[list[float]]) -> list[int]:
     return found
 
 
-def likeness(p: tuple, q: tuple, old: tuple, new: tuple) -> float:
+@lru_cache(maxsize=100_000)
+def names_alike(a: str, b: str) -> float:
+    return SequenceMatcher(None, a.lower(), b.lower()).ratio()
+
+
+def likeness(p: tuple, q: tuple, old: Values, new: Values) -> float:
     """Geometric mean of the similarity of two keys' names and of their values; 0 where no type is common."""
-    if not set(old[0]) & set(new[0]):
+    if set(old.types).isdisjoint(new.types):
         return 0.0
-    hashes = set(old[2]) | set(new[2])
-    alike = 1.0 if old[1] == new[1] else len(set(old[2]) & set(new[2])) / len(hashes) if hashes else 0.0
-    return math.sqrt(SequenceMatcher(None, p[-1].lower(), q[-1].lower()).ratio() * alike)
+    if old.digest == new.digest:
+        alike = 1.0
+    else:
+        common = len(old.least & new.least)
+        alike = common / (len(old.least) + len(new.least) - common) if common else 0.0
+    return math.sqrt(names_alike(p[-1], q[-1]) * alike) if alike else 0.0
+
+
+def linked(old: dict, new: dict, lost: list[tuple], fresh: list[tuple]) -> list[tuple[list[tuple], list[tuple]]]:
+    """Lost and new paths in groups between which no value is common: a matching is one of each group."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    for side, paths in ((old, lost), (new, fresh)):
+        for p in paths:
+            for mark in (side[p].digest, *side[p].least):
+                root[find(mark)] = find(p)
+    groups: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
+    for i, paths in enumerate((lost, fresh)):
+        for p in paths:
+            groups[find(p)][i].append(p)
+    return [g for g in groups.values() if g[0] and g[1]]
+
+
+def matched(old: dict, new: dict, lost: list[tuple], fresh: list[tuple], prefer_similar: float | None = None) -> dict[tuple, tuple]:
+    """The pairs of one parent's lost and new paths: the maximum-weight matching by :func:`likeness`.
+
+    A sole edge of equal values, the only such one of both its ends, weighs 3
+    more: all others of its ends weigh 1 at most, at most two of them can stand in
+    its place, so every maximum-weight matching holds it and they need no weight.
+    Without ``prefer_similar`` only such pairs are reported; groups without any
+    are left out.
+    """
+    pairs = {}
+    for some, others in linked(old, new, lost, fresh):
+        gone, born = Counter(old[p].digest for p in some), Counter(new[q].digest for q in others)
+        sole = {d for d, n in gone.items() if n == born[d] == 1}
+        if prefer_similar is None and not sole:
+            continue
+
+        def weight(p: tuple, q: tuple) -> float:
+            a, b = old[p], new[q]
+            if a.digest in sole or b.digest in sole:  # noqa: B023
+                return 3.0 + likeness(p, q, a, b) if a.digest == b.digest else 0.0
+            like = likeness(p, q, a, b)
+            return like if like >= (prefer_similar or 0.0) else 0.0
+
+        for p, j in zip(some, assignment([[weight(p, q) for q in others] for p in some]), strict=True):
+            if j >= 0 and (prefer_similar is not None or old[p].digest == new[others[j]].digest in sole):
+                pairs[p] = others[j]
+    return pairs
 
 
 def compare(old: dict, new: dict, prefer_similar: float | None = None) -> list[tuple[str, str, str]]:
     """Changes ``(kind, path after the change, old path)`` between two profiles.
 
-    Lost and new paths under one parent are a bipartite graph. An edge of equal
-    values that is the only one of both its ends is a rename. With
-    ``prefer_similar`` the maximum-weight matching of the rest by
-    :func:`likeness` adds the pairs of at least that likeness.
+    Lost and new paths under one parent are a bipartite graph, paired by
+    :func:`matched`. A pair of equal values that is the only one of both its ends
+    is a rename; ``prefer_similar`` adds the other pairs of at least that likeness.
     """
     gone, born = [p for p in old if p not in new], [p for p in new if p not in old]
     top_gone = [p for p in gone if p[:-1] in new or len(p) == 1]
     top_born = [p for p in born if p[:-1] in old or len(p) == 1]
 
-    by_old, by_new = defaultdict(list), defaultdict(list)
-    born_at = defaultdict(list)
-    for q in top_born:
-        born_at[q[:-1], new[q][1]].append(q)
-    for p in top_gone:
-        for q in born_at.get((p[:-1], old[p][1]), ()):
-            by_old[p].append(q)
-            by_new[q].append(p)
-    renames = {p: qs[0] for p, qs in by_old.items() if len(qs) == 1 and len(by_new[qs[0]]) == 1}
-    if prefer_similar is not None:
-        taken = set(renames.values())
-        sides: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
-        for p in sorted(top_gone):
-            if p not in renames:
-                sides[p[:-1]][0].append(p)
-        for q in sorted(top_born):
-            if q not in taken:
-                sides[q[:-1]][1].append(q)
-        for lost, fresh in sides.values():
-            weights = [[x if (x := likeness(p, q, old[p], new[q])) >= prefer_similar else 0.0 for q in fresh] for p in lost]
-            if fresh:
-                renames |= {lost[i]: fresh[j] for i, j in enumerate(assignment(weights)) if j >= 0}
+    sides: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
+    for i, paths in enumerate((top_gone, top_born)):
+        for p in sorted(paths):
+            sides[p[:-1]][i].append(p)
+    renames: dict[tuple, tuple] = {}
+    for lost, fresh in sides.values():
+        if lost and fresh:
+            renames |= matched(old, new, lost, fresh, prefer_similar)
 
     changes = [("renamed", ".".join(q), ".".join(p)) for p, q in renames.items()]
     named = set(renames.values())
     changes += [("removed", ".".join(p), "") for p in top_gone if p not in renames]
     changes += [("added", ".".join(q), "") for q in top_born if q not in named]
-    changes += [("retyped", ".".join(p), "") for p in old if p in new and old[p][0] != new[p][0]]
+    changes += [("retyped", ".".join(p), "") for p in old if p in new and old[p].types != new[p].types]
     return changes
 
 
@@ -281,9 +330,8 @@ def _neighbours(bodies: DataFrame, prefer_similar: float | None) -> DataFrame:
 
     Bodies are moved rather than their profiles: digests don't compress.
     """
-    k = 0 if prefer_similar is None else 16
     rows = cut(bodies.repartitionByRange("set_id", "version_no").sortWithinPartitions("set_id", "version_no"))
-    read = lambda text: profile(parse_as_written(text), k)
+    read = lambda text: profile(parse_as_written(text), SKETCH)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before, last = None, None

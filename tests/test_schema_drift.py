@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from formflow.operators import schema_drift
 from formflow.operators.schema_drift import assignment, compare, parse_as_written, profile, schema_changes, unified_names, unified_zones
 
 SCHEMA = "zone_set string, version_no int, body string, file_id bigint, set_id string"
@@ -134,3 +135,37 @@ def test_values_that_changed_a_little():
     new = {"zones": [{"xs": i + (i == 50)} for i in range(100)]}
     assert sorted(compare(profile(parse_as_written(json.dumps(old)), 16), profile(parse_as_written(json.dumps(new)), 16), 0.7)) == [("renamed", "zones.xs", "zones.x")]
     assert ("removed", "zones.x", "") in changes(old, new)
+
+
+def test_renames_come_through_the_matching(monkeypatch):
+    """Without ``prefer_similar`` too: names and values weigh the edges, the matching pairs them, the rule reports."""
+    old = {"zones": [{"top": i, "left": i % 7, "edges": i % 3} for i in range(9)]}
+    new = {"zones": [{"tops": i + (i == 5), "y": i} for i in range(9)]}
+    read = lambda x: profile(parse_as_written(json.dumps(x)), schema_drift.SKETCH)
+    solved = []
+    monkeypatch.setattr(schema_drift, "assignment", lambda w: solved.append((w, assignment(w))) or solved[-1][1])
+    want = [("added", "zones.tops", ""), ("removed", "zones.edges", ""), ("removed", "zones.left", ""), ("renamed", "zones.y", "zones.top")]
+    assert sorted(compare(read(old), read(new))) == want
+    (((edges, left, top), pairs),) = solved
+    assert 0 < edges[0] < left[0] < 1 and top[1] >= 3  # equal values, though "tops" is the nearer name
+    assert pairs == [-1, 0, 1]  # "left" is matched as well, but its values aren't those of "tops"
+    monkeypatch.setattr(schema_drift, "assignment", lambda w: [-1] * len(w))
+    assert not [c for c in compare(read(old), read(new)) if c[0] == "renamed"]
+
+
+def test_renames_by_brute_force():
+    """The rule of TESTDATA.md stated pair by pair, on fields that share values."""
+    rng = random.Random(5)
+    for _ in range(400):
+        names = rng.sample(["x", "X", "left", "lefts", "top", "tops", "w", "width"], 8)
+        n = rng.randrange(1, 4)
+        make = lambda keys: {k: [rng.choice([1, 2, "2"]) for _ in range(n)] for k in keys}  # noqa: B023, E731
+        old, new = make(names[: rng.randrange(1, 5)]), make(names[4 : rng.randrange(5, 9)])
+        body = lambda cols: {"z": [{k: v[i] for k, v in cols.items()} for i in range(n)]}  # noqa: B023, E731
+        pairs = [(p, q) for p in old for q in new if json.dumps(old[p]) == json.dumps(new[q])]
+        want = {(p, q) for p, q in pairs if sum(p == a for a, _ in pairs) == 1 == sum(q == b for _, b in pairs)}
+        for k in (0, schema_drift.SKETCH):
+            read = lambda x: profile(parse_as_written(json.dumps(x)), k)  # noqa: B023, E731
+            got = compare(read(body(old)), read(body(new)))
+            assert {(p[2:], q[2:]) for kind, q, p in got if kind == "renamed"} == want
+            assert len(got) == len(old) + len(new) - len(want)
